@@ -35,6 +35,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(documents_of(spark, sf_dir), documents_of(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import judge
 
@@ -53,7 +59,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(documents_of(spark, sf_dir), vocabulary(), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_personal_data, op5_simhash_near_dedup, op7_url_filters, op9_token_files, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_personal_data, op5_simhash_near_dedup, op6_toxicity, op7_url_filters, op9_token_files, op10_decontamination)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
