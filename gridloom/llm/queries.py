@@ -25,6 +25,12 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_table(documents_of(spark, sf_dir))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(documents_of(spark, sf_dir), documents_of(spark, sf_dir, "labels"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -59,7 +65,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(documents_of(spark, sf_dir), vocabulary(), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_personal_data, op5_simhash_near_dedup, op6_toxicity, op7_url_filters, op9_token_files, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_personal_data, op4_quality_classifier, op5_simhash_near_dedup, op6_toxicity, op7_url_filters, op9_token_files, op10_decontamination)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
