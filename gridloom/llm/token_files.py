@@ -104,8 +104,8 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, widt
                     own = doc[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(row["first_token"] + cut[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())], schema=schema)
 
-    # Parts go to tasks by a hash of their number; reading a part is much more work than its row.
-    return manifest.repartition(F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # As many tasks as parts: a part is much more work than its row shows.
+    return manifest.repartition(max(1, manifest.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
