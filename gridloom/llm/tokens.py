@@ -40,29 +40,28 @@ class WordEncoder:
 
     def _learn(self, new: set[str]) -> None:
         """Adds the words to the cache. Plain words of Latin letters share an entry for any case and closing mark."""
-        base = {}
+        cache, base = self.cache, {}
         for w in new:
             stem = w.rstrip(MARKS)
-            if stem.isalpha() and max(stem) <= "ſ" and "İ" not in stem:
-                base[w] = (stem.lower(), w[len(stem) :])
-        plain = list({b for b, _ in base.values() if b not in self.cache})
+            if stem.isalpha() and (stem.isascii() or (max(stem) <= "ſ" and "İ" not in stem)):
+                base[w] = stem.lower()
+            else:
+                cache[w] = self._whole(w)
+        plain = list(set(base.values()).difference(cache))
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.cache.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+                cache.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
             else:
-                self.cache.update((w, self._whole(w)) for w in part)
-        for w in new:
-            b, mark = base.get(w, (w, None))
-            if mark is None:
-                self.cache[w] = self._whole(w)
-            elif w != b:
-                if mark not in self.cache:
-                    self.cache[mark] = self._whole(mark)
-                self.cache[w] = self.cache[b] + self.cache[mark]
+                cache.update((w, self._whole(w)) for w in part)
+        for w, b in base.items():
+            mark = w[len(b) :]
+            if mark and mark not in cache:
+                cache[mark] = self._whole(mark)
+            cache[w] = cache[b] + cache[mark]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_words:
