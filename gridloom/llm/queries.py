@@ -19,6 +19,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents_of(spark, sf_dir), 2048, vocabulary(), 0)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .neighbours import nearest
+
+    return nearest(documents_of(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import span_table
 
@@ -65,7 +73,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(documents_of(spark, sf_dir), vocabulary(), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_personal_data, op4_quality_classifier, op5_simhash_near_dedup, op6_toxicity, op7_url_filters, op9_token_files, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_personal_data, op4_quality_classifier, op5_simhash_near_dedup, op6_toxicity, op7_url_filters, op9_token_files, op10_decontamination)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
