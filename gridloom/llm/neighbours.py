@@ -145,13 +145,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     own = F.pmod(F.xxhash64("vec_id") + F.monotonically_increasing_id(), F.col("blocks")).cast("int")
     data = dealt.join(blocks, "list").select("vec_id", "v", "list", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     queries = asked.select("vec_id", "v", spread(1, F.lit(groups)).alias("part"), F.explode("probed").alias("list")).join(blocks, "list")
-    queries = queries.select("vec_id", "v", "part", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"), F.col("list").alias("q_list"), F.col("part").alias("q_part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     names = ["query_id", "vec_id", "score"]
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
-        q, x, own, ids = _matrix(left["v"], dim), _matrix(right["v"], dim), left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        q, x, own, ids = _matrix(left["q"], dim), _matrix(right["v"], dim), left["query_id"].to_numpy(), right["vec_id"].to_numpy()
         turn, found = rotation(dim), []
         rq, rx, xn = _unit(q) @ turn, _unit(x) @ turn, None
         for a in range(0, len(q), 2000):
@@ -169,7 +169,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
         keep = rank < k
         return pa.table([pa.array(own[i[keep]]), pa.array(v[keep]), pa.array(s[keep])], names=names)
 
-    key = ["list", "block", "part"]
-    found = queries.groupBy(key).cogroup(data.groupBy(key)).applyInArrow(look, "query_id long, vec_id long, score double")
+    found = queries.groupBy("q_list", "q_block", "q_part").cogroup(data.groupBy("list", "block", "part")).applyInArrow(look, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
