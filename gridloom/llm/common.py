@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,7 +37,14 @@ class WorkTables:
         return f"{self.path}/{part}"
 
     def save(self, df: DataFrame, part: str) -> DataFrame:
-        df.write.parquet(self.at(part))
+        """Writes and reads again; shuffle files of the plan go as soon as the table is there."""
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.at(part))
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.at(part))
 
     def drop(self, part: str) -> None:

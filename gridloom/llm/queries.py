@@ -67,13 +67,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents_of(spark, sf_dir), documents_of(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeated
+
+    return remove_repeated(documents_of(spark, sf_dir), 200).drop("kept")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_table
 
     return token_table(documents_of(spark, sf_dir), vocabulary(), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_personal_data, op4_quality_classifier, op5_simhash_near_dedup, op6_toxicity, op7_url_filters, op9_token_files, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_personal_data, op4_quality_classifier, op5_simhash_near_dedup, op6_toxicity, op7_url_filters, op8_suffix_dedup, op9_token_files, op10_decontamination)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
