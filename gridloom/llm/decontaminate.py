@@ -100,3 +100,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
         "d.doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The documents in which no window stands, all columns as they were."""
+    hit = occurrences(docs, items, size).select("doc_id", "h").distinct()
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    return rows.alias("d").join(hit.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.__h = f.h"), "left_anti").select(*docs.columns)

@@ -152,3 +152,15 @@ def redacted(text: str, spans: str) -> Column:
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     step = f"named_struct('at', greatest(a.at, x.e), 'out', if(x.s < a.at, a.out, concat(a.out, array(substr({text}, a.at + 1, x.s - a.at), array({names})[x.k]))))"
     return F.expr(f"if(size({spans}) = 0, {text}, aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> {step}, a -> concat(array_join(a.out, ''), substr({text}, a.at + 1))))")
+
+
+def without_personal_data(docs: DataFrame, rounds: int = 2) -> DataFrame:
+    """All documents with their spans redacted and n_chars (if they have it) counted anew, all other columns as they were."""
+    found = personal_data(docs, rounds).where("size(base) + size(added) > 0").select("doc_id", "h", F.array_sort(F.concat("base", "added")).alias("spans")).distinct()
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"d{k}") for k, c in enumerate(docs.columns)), F.xxhash64("text").alias("__h"))
+    text, doc_id = (f"d{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    rows = rows.alias("d").join(found.alias("f"), F.expr(f"d.{doc_id} <=> f.doc_id and d.__h = f.h"), "left")
+    new = F.when(F.col("spans").isNull(), F.col(text)).otherwise(redacted(text, "spans"))
+    rows = rows.withColumn("__text", new)
+    put = {"text": F.col("__text"), "n_chars": F.when(F.col("spans").isNull(), F.col(f"d{docs.columns.index('n_chars')}")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None}
+    return rows.select(*(put.get(c, F.col(f"d{k}")).alias(c) for k, c in enumerate(docs.columns)))

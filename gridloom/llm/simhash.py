@@ -6,6 +6,11 @@ meet are linked. For r = 2 that is 65 variants, and all that share one are withi
 variant has at most 65 fingerprints, and a chain through them links them all. Copies collapse to
 one fingerprint before anything is emitted.
 
+For texts that are similar but not nearly equal (`similar_documents`), 64 bits would need balls of
+millions of variants: at a Jaccard similarity of 0.8, about 15 % of all bits differ. There the same
+ball hashing runs on bands of a wider fingerprint, narrow enough that near copies are within 2 bits
+in some band, and links are verified on 64 further bits that belong to no band.
+
 Defined results: null and empty texts have no words and fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; repeated rows each get a row; null doc_ids take
 part in links, and component_id is the least doc_id that is not null (null if there is none); an
@@ -25,30 +30,50 @@ from .common import WorkTables
 from .components import components
 
 CHUNK = 1 << 16
+WIDE = 4  # 64-bit words of the wide fingerprint, and one more to verify links
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles; a bit is set where over half the shingles' XXH64 set it."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> list[int]:
+    """XXH64 of each run of so many words, repeats included; fewer words make one shingle, none make none."""
     from xxhash import xxh64_intdigest as h
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return []
     joined, ends, at = b" ".join(words), [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     if len(words) <= shingle:
-        hashes = [h(joined, seed)]
-    else:
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = [h(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
+        return [h(joined, seed)]
+    starts = [0, *(e + 1 for e in ends)]
+    return [h(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes set."""
     counts = np.zeros(64, np.int64)
-    for k in range(0, n, CHUNK):
-        bits = np.unpackbits(np.array(hashes[k : k + CHUNK], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    for k in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the text's word shingles; zero without words."""
+    return majority(np.array(shingle_hashes(text, shingle, seed), "<u8"))
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
+    """Five SimHash words of the text's different shingles: each takes the hashes' bits anew, by another odd multiplier."""
+    hashes = np.unique(np.array(shingle_hashes(text, shingle), "<u8"))
+    out = []
+    for k in range(WIDE + 1):
+        x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * k & 0xFFFFFFFFFFFFFFFF)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        out.append(majority(x))
+    return out
 
 
 def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -96,3 +121,57 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataF
     named = work.save(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
     out = prints.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, h (hash of the text), group: documents that links join have the same group. Links are at the given Jaccard similarity of shingles, or a little below.
+
+    A band has ten bits more than the number of the corpus's texts, so a variant rarely has strangers; the
+    share of differing bits that a similarity gives (the angle of equally large sets, over pi) sets how
+    far the 64 bits of a link may be apart, with one standard deviation's room.
+    """
+    from math import acos, pi, sqrt
+
+    work = WorkTables(docs.sparkSession, "similar")
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((f"f{k}", pa.int64()) for k in range(WIDE + 1))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([wide_fingerprint(x.as_py(), shingle) for x in b.column(2)], np.uint64).reshape(-1, WIDE + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, k].copy()) for k in range(WIDE + 1))], schema=schema)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, " + ", ".join(f"f{k} long" for k in range(WIDE + 1)))
+    words = [f"f{k}" for k in range(WIDE + 1)]
+    prints = work.save(rows.withColumn("c", F.xxhash64(*words)), "prints")
+    classes = work.save(prints.select("c", *words).dropDuplicates(["c"]), "classes")
+    bits = min(64, max(28, classes.count().bit_length() + 10))
+    total, keys = 64 * WIDE, []
+    for band in range(total // bits):
+        word, low = divmod(band * bits, 64)
+        value = F.shiftrightunsigned(F.col(f"f{word}"), low)
+        if low + bits > 64:
+            value = value.bitwiseOR(F.shiftleft(F.col(f"f{word + 1}"), 64 - low))
+        if bits < 64:
+            value = value.bitwiseAND(F.lit((1 << bits) - 1))
+        variants = F.array(value, *(value.bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(bits)))
+        keys.append(F.transform(variants, lambda v, band=band: F.struct(F.lit(band).cast("byte").alias("band"), v.alias("variant"))))
+    rows = classes.select("c", F.col(f"f{WIDE}").alias("more"), F.explode(F.concat(*keys)).alias("key")).select("c", "more", "key.band", "key.variant")
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    apart = int(64 * share + sqrt(64 * share * (1 - share)) + 0.5)
+    within = Window.partitionBy("band", "variant").orderBy("c")
+    met = rows.select(F.lag("c").over(within).alias("a"), F.col("c").alias("b"), F.lag("more").over(within).alias("x"), F.col("more").alias("y"))
+    near = met.where(F.expr(f"a is not null and bit_count(x ^ y) <= {apart}")).select("a", "b").distinct()
+    roots = components(near, work)
+    named = work.save(classes.select("c").join(roots, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("group")), "named")
+    return prints.join(named, "c").select("doc_id", "h", "group")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without near copies: of each group the one with the least doc_id stays (a null id is the largest), all columns as they were."""
+    work = WorkTables(docs.sparkSession, "one-of-each")
+    groups = work.save(similar_documents(docs, shingle, similarity), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
+    stays = groups.groupBy("group").agg(F.min(order).alias("x")).select("x.doc_id", "x.h")
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("text"))
+    kept = rows.alias("d").join(stays.alias("s"), F.expr("d.__id <=> s.doc_id and d.__h = s.h"), "left_semi")
+    return kept.dropDuplicates(["__id", "__h"]).select(*docs.columns)

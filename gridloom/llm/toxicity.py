@@ -290,24 +290,27 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Ma
     return fit([r["words"].split() for r in got], y)
 
 
-def score(docs: DataFrame, machine: Machine | None, columns: list[str]) -> DataFrame:
-    """The given columns, and each text's score."""
+def score(docs: DataFrame, machine: Machine | None, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns, and each text's score under a name that is none of theirs."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     kept = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
     at = kept.columns.index("text")
-    schema = pa.schema([("score", pa.float64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordScores(sent.value) if sent.value else None
         for b in batches:
             got = score_texts(b.column(at).to_pylist(), known) if known is not None else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(got)], names=[*columns, schema.names[0]])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(got)], names=[*columns, name])
 
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
-    return kept.mapInArrow(run, f"{kinds}, score double")
+    return kept.mapInArrow(run, f"{kinds}, {name} double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, for every document."""
     out = score(docs, train(docs, labels), ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score under the threshold, all columns as they were."""
+    return score(docs, train(docs, labels), docs.columns, "__toxicity").where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
