@@ -22,7 +22,7 @@ gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,8 +124,8 @@ class Kernel:
 
     def features(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.root.shape[1]), np.float32)
-        for k in range(0, len(words), 4000):
-            part = words[k : k + 4000]
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
             row, col, weight = subsequences(part)
             norm = np.sqrt(np.maximum(np.bincount(row, weight * weight, len(part)), 1e-9))
             at = np.searchsorted(self.cols, col)
@@ -138,7 +138,7 @@ class Kernel:
             if len(row):
                 first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 near[row[first]] = np.add.reduceat(self.by[at] * weight[:, None], first, axis=0)
-            out[k : k + 4000] = near @ self.root
+            out[k : k + 500] = near @ self.root
         return out
 
     def fold(self, beta: np.ndarray) -> np.ndarray:
@@ -187,25 +187,46 @@ def _top_two(docs: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
 FLOOR = -2.0
 
 
-def fit(texts: list[list[str]], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 4) -> Machine:
-    """texts: each document's different words (letters only, as they come from `plain`)."""
-    names = sorted({w for t in texts for w in t})
-    index = {w: k for k, w in enumerate(names)}
-    docs = [np.array(sorted({index[w] for w in t}), np.int64) for t in texts]
+def document_counts(docs: list[np.ndarray], names: list[str], y: np.ndarray, words: int = 50_000) -> np.ndarray:
+    """In how many documents of each class every subsequence stands. Some documents at a time."""
+    counts, at = np.zeros((2, SPACE)), 0
+    while at < len(docs):
+        to, n = at, 0
+        while to < len(docs) and (to == at or n + len(docs[to]) <= words):
+            n += len(docs[to])
+            to += 1
+        of = np.repeat(np.arange(to - at), [len(d) for d in docs[at:to]])
+        row, col, _ = subsequences([names[w] for d in docs[at:to] for w in d])
+        key = np.unique(of[row] * SPACE + col)
+        for c in (0, 1):
+            counts[c] += np.bincount(key[y[at:to][key // SPACE] == c] % SPACE, minlength=SPACE)
+        at = to
+    return counts
+
+
+def mean_entry(words: list[str], table: np.ndarray, chunk: int = 20_000) -> np.ndarray:
+    """Each word's mean of table entries over its subsequences."""
+    out = np.zeros(len(words))
+    for k in range(0, len(words), chunk):
+        part = words[k : k + chunk]
+        row, col, _ = subsequences(part)
+        out[k : k + chunk] = np.bincount(row, table[col], len(part)) / np.maximum(np.bincount(row, minlength=len(part)), 1)
+    return out
+
+
+def fit(texts: Iterable[Iterable[str]], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 4) -> Machine:
+    """texts: each document's different words (letters only, as they come from `plain`), in a fixed order."""
+    index: dict[str, int] = {}
+    docs = [np.array([index.setdefault(w, len(index)) for w in t], np.int64) for t in texts]
+    names = list(index)
+    del index
     toxic = [d for d, c in zip(docs, y) if c and len(d)]
     harmless = [d for d, c in zip(docs, y) if not c and len(d)]
     # Which subsequences do toxic documents have and harmless ones lack? Counted by document.
-    row, col, _ = subsequences(names)
-    order = np.argsort(row, kind="stable")
-    col, cut = col[order], np.searchsorted(row[order], np.arange(len(names) + 1))
-    counts = np.zeros((2, SPACE))
-    for d, c in zip(docs, y):
-        if len(d):
-            counts[int(c)][np.unique(np.concatenate([col[cut[w] : cut[w + 1]] for w in d]))] += 1
+    counts = document_counts(docs, names, np.asarray(y))
     odds = np.log((counts[1] + 0.5) / (len(toxic) + 1)) - np.log((counts[0] + 0.5) / (len(harmless) + 1))
     odds *= counts[1] / (counts[1] + 5)  # rare ones prove little
-    mean = np.array([odds[col[a:b]].mean() if b > a else 0 for a, b in zip(cut, cut[1:])])
-    scores = mean
+    scores = mean_entry(names, odds)
     held: set[int] = set()
     common = np.zeros(len(names), np.int64)
     for d in harmless:
@@ -278,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Ma
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [" ".join({p for w in set(tokens(t)) if (p := plain(w))}) for t in b.column(1).to_pylist()]
+            words = [" ".join(sorted({p for w in set(tokens(t)) if (p := plain(w))})) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string()), b.column(2)], names=["doc_id", "words", "y"])
 
     chosen = F.broadcast(sample(learnable(labels, "toxic"), most))  # at most sum(most) rows
@@ -287,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Ma
     y = np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return fit([r["words"].split() for r in got], y)
+    return fit((r["words"].split() for r in got), y)
 
 
 def score(docs: DataFrame, machine: Machine | None, columns: list[str], name: str = "score") -> DataFrame:
