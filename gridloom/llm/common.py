@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -54,9 +54,9 @@ class WorkTables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lower_ascii(col):
-    """A-Z lower-cased, all else as it is."""
-    return F.translate(col, A_Z, a_z)
+def lower_ascii(col: Column) -> Column:
+    """A-Z lower-cased, all else as it is. lower() is much faster, and the same where all characters are ASCII."""
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, A_Z, a_z))
 
 
 def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

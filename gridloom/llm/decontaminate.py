@@ -1,9 +1,9 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-1. Windows of the benchmark's words, each once.
-2. Counts over all documents of the terms that windows use; a window's anchor is its rarest term.
-   Windows with a term that no document has cannot occur.
-3. Postings (document, position) of the anchors over all documents. The lists of the window's other
+1. The index: each document's terms by position, stored once.
+2. Windows of the benchmark's words, each once; counts over the whole index of the terms that they
+   use. A window's anchor is its rarest term. Windows with a term that no document has cannot occur.
+3. Postings (document, position) of the anchors over the whole index. The lists of the window's other
    terms, moved by their offsets, are intersected with them where the posting stands: the words
    around it are at hand there, so no common term's list is ever shuffled.
 
@@ -24,17 +24,25 @@ from pyspark.sql import functions as F
 
 from .common import WorkTables, lower_ascii
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # words: what stands between runs of these
 BLOCK_BYTES = 16 << 20
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    """The words, in order; the first and the last may be empty (where the text begins or ends with other characters)."""
+    return F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN, -1)
+
+
+def index_of(docs: DataFrame, work: WorkTables) -> DataFrame:
+    """doc_id, h (the text's hash), n_words, words: every document's terms by position, stored."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
+    n_words = F.size("words") - (F.element_at("words", 1) == "").cast("int") - ((F.element_at("words", -1) == "") & (F.size("words") > 1)).cast("int")
+    return work.save(rows.select("doc_id", "h", n_words.cast("long").alias("n_words"), "words"), "index")
 
 
 def windows_of(items: DataFrame, size: int) -> DataFrame:
     """window (its words), items (ids): all runs of `size` words; an item with fewer is one window."""
-    rows = items.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    rows = items.select("item_id", F.filter(words_of(F.col("text")), lambda w: w != "").alias("words")).where("size(words) > 0")
     runs = F.expr(f"transform(sequence(0, greatest(size(words) - {size}, 0)), s -> slice(words, s + 1, {size}))")
     return rows.select("item_id", F.explode(runs).alias("window")).groupBy("window").agg(F.collect_set("item_id").alias("items"))
 
@@ -54,15 +62,13 @@ def term_counts(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-def occurrences(docs: DataFrame, items: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
-    """doc_id, h, start, length, items: each place in a document (told by doc_id and its text's hash h) where a window stands.
+def occurrences(texts: DataFrame, items: DataFrame, work: WorkTables, size: int = 10, slop: int | None = None) -> DataFrame:
+    """doc_id, h, start, length, items: each place in a document of the index where a window stands.
 
     With slop, proximity matches as well: all the window's terms stand, in any order, within its length
     and slop more words around its rarest term; `exact` tells the two apart, start and length are then the neighbourhood's.
     """
-    work = WorkTables(docs.sparkSession, "decontaminate")
     windows = work.save(windows_of(items, size), "windows")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
     vocabulary = work.save(windows.select(F.explode("window").alias("term")).distinct(), "vocabulary")
     counts = work.save(term_counts(texts.select(F.explode("words").alias("term")), vocabulary), "counts")
     terms = windows.select("window", "items", F.explode(F.array_distinct("window")).alias("term")).join(counts, "term", "left")
@@ -87,14 +93,15 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = 10, slop: int | N
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, for every document."""
-    found = occurrences(docs, items, size).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    work = WorkTables(docs.sparkSession, "decontaminate")
+    index = index_of(docs, work)
+    found = occurrences(index, items, work, size).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     covered = F.expr(
         "aggregate(array_sort(spans), struct(0L as upto, 0L as n), (a, s) -> struct(greatest(a.upto, bigint(s.start + s.length)) as upto,"
         " a.n + greatest(0L, s.start + s.length - greatest(a.upto, bigint(s.start))) as n), a -> a.n)"
     )
     found = found.select("doc_id", "h", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",").alias("ids"))
-    counted = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.h = f.h"), "left")
+    out = index.select("doc_id", "h", "n_words").alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.h = f.h"), "left")
     n_hit = F.coalesce("f.n_hit", F.lit(0).cast("long"))
     return out.select(
         "d.doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -104,6 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The documents in which no window stands, all columns as they were."""
-    hit = occurrences(docs, items, size).select("doc_id", "h").distinct()
+    work = WorkTables(docs.sparkSession, "decontaminate")
+    hit = occurrences(index_of(docs, work), items, work, size).select("doc_id", "h").distinct()
     rows = docs.withColumn("__h", F.xxhash64("text"))
     return rows.alias("d").join(hit.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.__h = f.h"), "left_anti").select(*docs.columns)
