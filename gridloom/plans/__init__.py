@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["vectors", "matrices", "scans", "batched"]
+MODULES = ["vectors", "matrices", "scans", "batched", "solvers", "graphs", "ode", "files"]
 
 
 def load():
