@@ -154,8 +154,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         if bits < 64:
             value = value.bitwiseAND(F.lit((1 << bits) - 1))
         variants = F.array(value, *(value.bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(bits)))
-        keys.append(F.transform(variants, lambda v, band=band: F.struct(F.lit(band).cast("byte").alias("band"), v.alias("variant"))))
-    rows = classes.select("c", F.col(f"f{WIDE}").alias("more"), F.explode(F.concat(*keys)).alias("key")).select("c", "more", "key.band", "key.variant")
+        keys.append(F.struct(F.lit(band).cast("byte").alias("band"), variants.alias("variants")))
+    rows = classes.select("c", F.col(f"f{WIDE}").alias("more"), F.explode(F.array(*keys)).alias("key"))
+    rows = rows.select("c", "more", "key.band", F.explode("key.variants").alias("variant"))
     share = acos(2 * similarity / (1 + similarity)) / pi
     apart = int(64 * share + sqrt(64 * share * (1 - share)) + 0.5)
     within = Window.partitionBy("band", "variant").orderBy("c")
