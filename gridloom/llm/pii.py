@@ -107,10 +107,11 @@ def bootstrap(seen: DataFrame, work: WorkTables, rounds: int = 2, min_seeds: int
         now = edges if found is None else edges.join(found.withColumn("more", F.lit(True)), "value", "left").select("pattern", "value", F.expr("seed or coalesce(more, false)").alias("seed"))
         scores = now.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n"))
         # Laplace's rule keeps a pattern with few seeds from certainty.
-        scores = scores.where(f"seeds >= {min_seeds} and seeds < n").selectExpr("pattern", "(seeds + 1) / (n + 2) as confidence")
+        scores = scores.where(f"seeds >= {min_seeds}").selectExpr("pattern", "(seeds + 1) / (n + 2) as confidence")
         scores = scores.where("confidence >= 0.5")
         doubts = edges.where("not seed").join(scores, "pattern").groupBy("value").agg(F.sum(F.log(1 - F.col("confidence"))).alias("doubt"))
-        found = work.save(doubts.where(1 - F.exp("doubt") >= min_confidence).select("value"), f"found-{at}")
+        sure = doubts.where(1 - F.exp("doubt") >= min_confidence).select("value")
+        found = work.save(sure if found is None else sure.union(found).distinct(), f"found-{at}")
     new = placed.where("not seed").select("doc_id", "h", "s", "e", "value").distinct().join(found, "value")
     return new.select("doc_id", "h", "s", "e")
 
