@@ -6,7 +6,7 @@ results are the same however rows are dealt.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import Steps
@@ -175,12 +175,20 @@ def match(edges: DataFrame, vertices: DataFrame, rounds: int = 30) -> DataFrame:
     return own.unionByName(vertices.select("i").join(own, "i", "left_anti").select("i", F.col("i").alias("root")))
 
 
-def hec(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """i, root: heavy-edge coarsening. Every vertex points to its heaviest neighbour; those that point to each other merge, and the others join where they point, step by step."""
+def hec(edges: DataFrame, vertices: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """i, root: heavy-edge coarsening. Every vertex points to its heaviest neighbour; those that point to each other merge, and the others join where they point, step by step.
+
+    start (i, root): vertices that have their cluster already.
+    """
     steps = Steps(edges.sparkSession, "hec")
     key = F.struct("w", mixed(F.least("src", "dst") * 31 + F.greatest("src", "dst")), F.least("src", "dst"), F.greatest("src", "dst"))
     points = steps.keep("points", edges.where("src <> dst").groupBy("src").agg(F.max_by("dst", key).alias("dst")))
     mutual = points.alias("a").join(points.alias("b"), F.expr("a.dst = b.src and a.src = b.dst")).select(F.expr("a.src as i"), F.expr("least(a.src, a.dst) as root"))
+    if start is not None:
+        taken = start.select("i")
+        mutual = mutual.join(taken, "i", "left_anti").join(taken.withColumnRenamed("i", "root"), "root", "left_anti").select("i", "root")
+        other = mutual.groupBy("root").agg(F.count("*").alias("n")).where("n = 2").select("root")  # both ends are free
+        mutual = start.select("i", "root").unionByName(mutual.join(other, "root").select("i", "root"))
     own = steps.keep("own", mutual)
     while True:
         more = points.join(own.select(F.col("i").alias("src")), "src", "left_anti").join(own.withColumnRenamed("i", "dst"), "dst").select(F.col("src").alias("i"), "root")
@@ -212,7 +220,40 @@ def gosh(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return centres.select("i", F.col("i").alias("root")).unionByName(joins)
 
 
-HEURISTICS = ("hec", "match", "mis2", "gosh")
+def two_hop_match(edges: DataFrame, vertices: DataFrame, share: float = 0.25) -> DataFrame:
+    """i, root: matching; where more than the share is left alone, leaves of one vertex are paired, and then vertices with the same neighbours."""
+    steps = Steps(edges.sparkSession, "two-hop")
+    own = steps.keep("own", match(edges, vertices))
+    n = vertices.count()
+    for kind in ("leaves", "twins"):
+        alone = steps.keep("alone", own.groupBy("root").agg(F.count("*").alias("n"), F.max("i").alias("i")).where("n = 1").select("i"))
+        if alone.count() <= share * n:
+            break
+        near = edges.where("src <> dst").join(alone.withColumnRenamed("i", "src"), "src", "left_semi").groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("one"), F.sum(mixed("dst")).alias("digest"), F.max("dst").alias("last"))
+        key = ["one"] if kind == "leaves" else ["n", "one", "last", "digest"]
+        near = near.where("n = 1") if kind == "leaves" else near
+        placed = near.withColumn("k", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("src")) - 1) / 2))
+        pairs = placed.withColumn("root", F.min("src").over(Window.partitionBy(*key, "k"))).select(F.col("src").alias("i"), F.col("root").alias("new"))
+        own = steps.keep("own", own.join(pairs, "i", "left").select("i", F.coalesce("new", "root").alias("root")))
+    return own
+
+
+def gosh_hubs(edges: DataFrame, vertices: DataFrame, least: int = 50) -> DataFrame:
+    """i, root: vertices of a degree above the mean (and above `least`) are centres. Others join the centre they weigh most with, then the cluster of their neighbour of the highest degree, then any neighbour's; what is left is merged along heavy edges."""
+    steps = Steps(edges.sparkSession, "hubs")
+    e = steps.keep("edges", edges.where("src <> dst").select("src", "dst", "w"))
+    deg = steps.keep("degrees", degrees(e, vertices))
+    mean = deg.agg(F.avg("degree")).first()[0] or 0.0
+    own = steps.keep("own", deg.where(F.col("degree") > max(least, int(mean))).select("i", F.col("i").alias("root")))
+    weights = [F.struct("w", "dst"), F.struct("degree", "dst"), F.struct(F.lit(0).alias("z"), -F.col("root"))]
+    for by in weights:
+        rest = vertices.select("i").join(own, "i", "left_anti").withColumnRenamed("i", "src")
+        around = e.join(rest, "src", "left_semi").join(own.withColumnRenamed("i", "dst"), "dst").join(deg.withColumnRenamed("i", "dst"), "dst")
+        own = steps.keep("own", own.unionByName(around.groupBy(F.col("src").alias("i")).agg(F.max_by("root", by).alias("root"))))
+    return hec(e, vertices, own)
+
+
+HEURISTICS = ("hec", "match", "mtmetis", "mis2", "gosh", "gosh2")
 
 
 def mapping(edges: DataFrame, vertices: DataFrame, heuristic: str = "hec") -> DataFrame:
@@ -221,7 +262,7 @@ def mapping(edges: DataFrame, vertices: DataFrame, heuristic: str = "hec") -> Da
         return mis2_coarsen(edges, vertices)
     if heuristic not in HEURISTICS:
         raise ValueError(f"heuristic {heuristic!r} is none of {HEURISTICS}")
-    return _named({"hec": hec, "match": match, "gosh": gosh}[heuristic](edges, vertices))
+    return _named({"hec": hec, "match": match, "mtmetis": two_hop_match, "gosh": gosh, "gosh2": gosh_hubs}[heuristic](edges, vertices))
 
 
 def multilevel(edges: DataFrame, vertices: DataFrame, heuristic: str = "hec", cutoff: int = 50, least: int = 10, most: int = 200) -> list[tuple[DataFrame, DataFrame, DataFrame]]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import scaled
+from ..functions.exprs import cmul, conj, cplx, scaled
 from ..schema import MatrixMeta, same_inner
 
 #: Names of product algorithms and the join hints that correspond; results are the same.
@@ -28,7 +28,7 @@ def transpose(a: DataFrame) -> DataFrame:
 def _op(mode: str, a: DataFrame) -> DataFrame:
     if mode.upper() not in MODES or len(mode) != 1:
         raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
-    return transpose(a) if mode.upper() in "TH" else a  # values are real: conjugation changes nothing
+    return transpose(a) if mode.upper() in "TH" else a  # of real values; spmv_complex conjugates
 
 
 def domain(df: DataFrame, n: int | DataFrame) -> DataFrame:
@@ -54,6 +54,16 @@ def spmv(a: DataFrame, x: DataFrame, rows: int | DataFrame, alpha: float = 1.0,
     return reduce(DataFrame.unionByName, parts).groupBy("i").agg(F.sum("v").alias("v"))
 
 
+def spmv_complex(a: DataFrame, x: DataFrame, rows: DataFrame, mode: str = "N") -> DataFrame:
+    """op(a) x for complex entries (i, j, z) and a complex vector (i, z), z a struct (re, im). C conjugates, T transposes, H does both."""
+    a = _op(mode, a)
+    z = conj(F.col("z")) if mode.upper() in "CH" else F.col("z")
+    product = a.select("i", "j", z.alias("az")).join(x.select(F.col("i").alias("j"), F.col("z").alias("xz")), "j").select("i", cmul(F.col("az"), F.col("xz")).alias("z"))
+    parts = product.select("i", "z.re", "z.im").unionByName(rows.select("i", F.lit(0.0).alias("re"), F.lit(0.0).alias("im")))
+    sums = parts.groupBy("i").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return sums.select("i", cplx(F.col("re"), F.col("im")).alias("z"))
+
+
 def spmm(a: DataFrame, x: DataFrame, mode: str = "N") -> DataFrame:
     """op(a) x for a multivector x (i, j, v); rows without an entry are absent."""
     right = x.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("xv"))

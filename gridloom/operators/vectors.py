@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ieee_div, scaled
+from ..functions.exprs import cabs, cmul, conj, cplx, ieee_div, scaled
 
 Coefficient = float | Sequence[float]
 
@@ -209,3 +209,28 @@ def rotmg(df: DataFrame) -> DataFrame:
         return pd.Series([rotmg_params(*row)[0] for row in zip(d1, d2, x1, y1)])
 
     return df.withColumn("param", run("d1", "d2", "x1", "y1"))
+
+
+# Complex values: z is a struct (re, im)
+
+
+def abs_complex(x: DataFrame) -> DataFrame:
+    return x.select("i", cabs(F.col("z")).alias("v"))
+
+
+def axpy_complex(alpha: tuple[float, float], x: DataFrame, y: DataFrame) -> DataFrame:
+    """alpha * x + y."""
+    a = cplx(F.lit(float(alpha[0])), F.lit(float(alpha[1])))
+    parts = x.select("i", cmul(a, F.col("z")).alias("z")).unionByName(y.select("i", "z"))
+    sums = parts.groupBy("i").agg(F.sum("z.re").alias("re"), F.sum("z.im").alias("im"))
+    return sums.select("i", cplx(F.col("re"), F.col("im")).alias("z"))
+
+
+def dot_complex(x: DataFrame, y: DataFrame) -> DataFrame:
+    """The sum of conj(x) * y."""
+    p = x.select("i", F.col("z").alias("a")).join(y.select("i", F.col("z").alias("b")), "i").select(cmul(conj(F.col("a")), F.col("b")).alias("z"))
+    return p.agg(F.coalesce(F.sum("z.re"), F.lit(0.0)).alias("re"), F.coalesce(F.sum("z.im"), F.lit(0.0)).alias("im"))
+
+
+def nrm2_complex(x: DataFrame) -> DataFrame:
+    return x.agg(F.sqrt(F.coalesce(F.sum(F.col("z.re") * F.col("z.re") + F.col("z.im") * F.col("z.im")), F.lit(0.0))).alias("v"))

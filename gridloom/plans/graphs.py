@@ -114,6 +114,20 @@ def _(in_):
     return partition(in_(SUP), G.mapping(in_("SELECT src, dst, 1 AS w FROM {G}"), in_(SUP), "gosh"))
 
 
+@query("G09_mtmetis", WHOLE)
+def _(in_):
+    """A star: its leaves are matched two by two."""
+    e = in_("SELECT i AS src, CAST(0 AS BIGINT) AS dst, 1 AS w FROM {N} WHERE i > 0 UNION ALL SELECT CAST(0 AS BIGINT), i, 1 FROM {N} WHERE i > 0")
+    m = G.mapping(e, in_("SELECT i FROM {N}"), "mtmetis")
+    assert m.select("label").distinct().count() <= 14
+    return partition(in_("SELECT i FROM {N}"), m)
+
+
+@query("G09_gosh2", WHOLE)
+def _(in_):
+    return partition(in_(PARTS), G.mapping(in_(WEIGHTED), in_(PARTS), "gosh2"))
+
+
 @query("G09_mis2", WHOLE)
 def _(in_):
     return partition(in_(SUP), G.mapping(in_("SELECT src, dst, 1 AS w FROM {G}"), in_(SUP), "mis2"))

@@ -40,6 +40,14 @@ def _(in_):
     return M.spmm(in_.A, in_.PM, "T")
 
 
+@query("S01_spmv_hermitian", "SELECT d.i, coalesce(sum(a.v * s.v + a.j * s.v), 0) AS re, coalesce(sum(a.v * s.v - a.j * s.v), 0) AS im FROM (" + PART + ") d LEFT JOIN {A} a ON a.j = d.i LEFT JOIN {S} s ON s.i = a.i GROUP BY d.i")
+def _(in_):
+    """The conjugate transpose of entries v + j*i, times s + s*i."""
+    a = in_.A.select("i", "j", F.struct(F.col("v").alias("re"), F.col("j").cast("double").alias("im")).alias("z"))
+    x = in_.S.select("i", F.struct(F.col("v").alias("re"), F.col("v").alias("im")).alias("z"))
+    return M.spmv_complex(a, x, in_(PART), "H").select("i", "z.re", "z.im")
+
+
 for _algorithm in ("native", "fast_setup", "merge_path"):
     query(f"S02_spmv_{_algorithm}", _spmv_sql())(lambda in_, a=_algorithm: M.spmv(in_.A, in_.X, in_(SUP), algorithm=a))
 

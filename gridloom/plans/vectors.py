@@ -209,3 +209,27 @@ def _(in_):
         "i", E.arr_sum(F.transform("x", lambda v: F.abs(v))).alias("a"), E.arr_sum(E.arr_axpby(2.0, "x", 3.0, "y")).alias("b"),
         E.arr_dot("x", "y").alias("d"), F.round(E.arr_nrm2("x"), 6).alias("n"), E.arr_sum(E.arr_scal(4.0, "x")).alias("s"),
     )
+
+
+def complex_of(a, b):
+    return a.select("i", F.col("v").alias("re")).join(b.select("i", F.col("v").alias("im")), "i").select("i", F.struct("re", "im").alias("z"))
+
+
+@query("V01_abs_complex", "SELECT i, round(sqrt(x.v * x.v + y.v * y.v), 6) AS v FROM {SX} x JOIN {Y} y USING (i)")
+def _(in_):
+    return V.abs_complex(complex_of(in_.SX, in_.Y)).withColumn("v", F.round("v", 6))
+
+
+@query("V03_axpy_complex", "SELECT i, 2 * x.v - 3 * y.v + y.v AS re, 3 * x.v + 2 * y.v + x.v AS im FROM {SX} x JOIN {Y} y USING (i)")
+def _(in_):
+    return V.axpy_complex((2.0, 3.0), complex_of(in_.SX, in_.Y), complex_of(in_.Y, in_.SX)).select("i", "z.re", "z.im")
+
+
+@query("V05_dot_complex", "SELECT sum(x.v * y.v + y.v * x.v) AS re, sum(x.v * x.v - y.v * y.v) AS im FROM {SX} x JOIN {Y} y USING (i)")
+def _(in_):
+    return V.dot_complex(complex_of(in_.SX, in_.Y), complex_of(in_.Y, in_.SX))
+
+
+@query("V11_nrm2_complex", "SELECT round(sqrt(sum(x.v * x.v + y.v * y.v)), 6) AS v FROM {SX} x JOIN {Y} y USING (i)")
+def _(in_):
+    return V.nrm2_complex(complex_of(in_.SX, in_.Y)).withColumn("v", F.round("v", 6))
