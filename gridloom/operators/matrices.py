@@ -245,7 +245,9 @@ def from_bsr(b: DataFrame, size: int) -> DataFrame:
 
 
 def bsr_spmv(b: DataFrame, x: DataFrame, rows: int | DataFrame, size: int, **more) -> DataFrame:
-    return spmv(from_bsr(b, size), x, rows, **more)
+    """As spmv; rows that only fill the last block are left out."""
+    y = spmv(from_bsr(b, size), x, rows, **more)
+    return y.where(F.col("i") < rows) if isinstance(rows, int) else y.join(rows.select("i"), "i", "left_semi")
 
 
 def bsr_spgemm(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
