@@ -146,10 +146,11 @@ def repeated(docs: DataFrame, work: WorkTables, threshold: int) -> DataFrame:
     work.drop("runs")
     work.drop("marks")
     equal = work.save(rest.groupBy("mark", "name").agg(F.count("*").alias("c"), F.max("several").alias("several")), "equal")
-    marks = equal.groupBy("mark").agg(F.min("c").alias("least"), F.count("*").alias("names"), F.max("several").alias("s"))
+    # A table of its own, so that both sides of the join are plain shuffles, which AQE can split where a mark is hot.
+    marks = work.save(equal.groupBy("mark").agg(F.min("c").alias("least"), F.count("*").alias("names"), F.max("several").alias("s")), "shared")
     kinds = equal.join(marks, "mark").selectExpr("mark", "name", "c > 1 as whole", "c = 1 and (names > 1 or s) as look", "c > 1 and least = 1 as example")
     placed = work.save(rest.join(work.save(kinds.where("whole or look"), "kinds"), ["mark", "name"]), "placed")
-    for part in ("rest", "equal", "kinds"):
+    for part in ("rest", "equal", "shared", "kinds"):
         work.drop(part)
     examples = placed.where("example").groupBy("mark", "name").agg(F.min(F.struct("k", "lo", "n")).alias("x")).selectExpr("x.k", "x.lo", "x.n", "false as asked")
     looks = placed.where("look").selectExpr("k", "lo", "n", "true as asked").unionByName(examples)
