@@ -285,10 +285,11 @@ def multilevel(edges: DataFrame, vertices: DataFrame, heuristic: str = "hec", cu
 
 def triangles(edges: DataFrame) -> DataFrame:
     """a, b, c: each triangle of an undirected graph (both directions there) once. Edges point to the higher (degree, id), so a hub has few."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
-    d = e.groupBy("src").agg(F.count("*").alias("n"))
+    steps = Steps(edges.sparkSession, "triangles")
+    e = steps.keep("edges", edges.where("src <> dst").select("src", "dst").distinct())
+    d = steps.keep("degrees", e.groupBy("src").agg(F.count("*").alias("n")))
     r = e.join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
-    up = r.where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("src") < F.col("dst")))).select("src", "dst")
+    up = steps.keep("up", r.where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("src") < F.col("dst")))).select("src", "dst"))
     wedge = up.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(up.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
     return wedge.join(up.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_semi").select("a", "b", "c")
 

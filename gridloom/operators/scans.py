@@ -10,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import Steps
+
 
 def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds _p, the number of the range that a row is in; ranges follow the order."""
-    return df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Adds _p, the number of the range that a row is in; ranges follow the order.
+
+    Stored, as the ranges' bounds come from a sample that another run of the plan may draw differently.
+    """
+    return Steps(df.sparkSession, "ranges").keep("rows", df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
 
 
 def _columns(order) -> list[Column]:
