@@ -97,6 +97,22 @@ fits AS (
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM u LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (r)""",
+    "op8_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (
+  SELECT r, p, md5_number(substr(x, 2 * p + 1, 400)) AS h
+  FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS p FROM d WHERE length(x) >= 400)),
+hits AS (SELECT r, p FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+opened AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM hits),
+island AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM opened),
+span AS (SELECT r, min(p) AS s, max(p) + 200 AS e FROM island GROUP BY r, k),
+kept AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS was FROM span),
+cut AS (
+  SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * was + 1, 2 * (s - was)), '' ORDER BY s) AS y, max(e) AS last
+  FROM kept JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(y, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)""",
     "op10_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
