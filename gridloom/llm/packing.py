@@ -126,11 +126,11 @@ def pack_counts(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]
 
 
 def pack(items: DataFrame, capacity: int, bucket_rows: int = 200_000) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` from 1 to capacity. `items` is read more than once: pass a stored table.
+    """Adds sequence_id and offset to rows with a `length` from 1 to capacity. `items` is read twice: pass a stored table.
 
     The plan's size depends on the capacity alone (some thousand places for 2048), so it is sent to every task.
     """
-    columns = items.columns
+    work, columns = WorkTables(items.sparkSession, "pack"), items.columns
     total = items.groupBy("length").count().collect()  # at most `capacity` rows
     counts = {r["length"]: r["count"] for r in total}
     plan, _ = pack_counts(counts, capacity)
@@ -139,6 +139,7 @@ def pack(items: DataFrame, capacity: int, bucket_rows: int = 200_000) -> DataFra
     spread = items.withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
     # Equal rows share a hash: they count within their bucket, and a large group of them would fill it; so the row's place in its task joins in.
     spread = spread.withColumn("_bucket", F.pmod(F.col("_bucket") + F.monotonically_increasing_id(), F.lit(buckets)).cast("int"))
+    spread = work.save(spread, "buckets")  # read twice below, and places must be the same
     sizes = spread.groupBy("_bucket", "length").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_bucket", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
