@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_kept: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps from task to task: of one operator at a time, so that caches don't add up in an executor."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class WorkTables:
     """Intermediate results, written as Parquet to the shared folder and read again.
 
@@ -33,6 +44,12 @@ class WorkTables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+    def part(self, name: str) -> WorkTables:
+        """A folder of its own within this one."""
+        own = WorkTables(self.spark, "part")
+        own.path = self.at(name)
+        return own
+
     def at(self, part: str) -> str:
         return f"{self.path}/{part}"
 
@@ -60,9 +77,17 @@ def lower_ascii(col: Column) -> Column:
 
 
 def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of text for each Arrow batch: the default of 10,000 whole documents takes much memory on both sides. A setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or a bare path; None for any other store."""
     found = re.match(r"(?:file:(?://)?)?(/.*)", uri)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables
+from .common import WorkTables, worker_cache
 from .labelled import held_out, learnable, sample
 
 #: Labelled documents that are learnt from, at most, by class.
@@ -106,7 +106,7 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
     names = [f"v{k}" for k in range(DIM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, (places, signs) = Codes(), index_vectors(BUCKETS, 1)
+        codes, (places, signs) = worker_cache("codes", Codes), index_vectors(BUCKETS, 1)
         sums, counts = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for _, code, of in chunks(batch.column(0).to_pylist(), codes):
@@ -207,7 +207,7 @@ def quality(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) ->
     vectors = spark.sparkContext.broadcast(corpus_vectors(docs))
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, index = Codes(), dense(*index_vectors(LOOKS, 2))
+        codes, index = worker_cache("codes", Codes), dense(*index_vectors(LOOKS, 2))
         for b in batches:
             x = pool(b.column(1).to_pylist(), codes, vectors.value, index)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, x.size + 1, 2 * DIM, dtype=np.int32), pa.array(x.ravel()))], names=["doc_id", "x"])

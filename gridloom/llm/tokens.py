@@ -11,6 +11,8 @@ import os
 
 import numpy as np
 
+from .common import worker_cache
+
 CACHED_WORDS = 700_000
 END_OF_WORD = "</w>"
 #: Marks after a word are tokens of their own; no apostrophe, which may join what follows.
@@ -85,11 +87,6 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One a worker process."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker_cache(("encoder", path), lambda: WordEncoder(path))

@@ -22,6 +22,7 @@ gives no rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
 from .labelled import held_out, learnable, sample
 
 #: Labelled documents that are learnt from, at most, by class.
@@ -83,7 +85,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(weights)
 
 
-def table_scores(words: list[str], table: np.ndarray, chunk: int = 20_000) -> np.ndarray:
+def table_scores(words: list[str], table: np.ndarray, chunk: int = 6_000) -> np.ndarray:
     """Each word's sum of table entries over its subsequences, by its norm."""
     out = np.zeros(len(words))
     for k in range(0, len(words), chunk):
@@ -187,7 +189,7 @@ def _top_two(docs: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
 FLOOR = -2.0
 
 
-def document_counts(docs: list[np.ndarray], names: list[str], y: np.ndarray, words: int = 50_000) -> np.ndarray:
+def document_counts(docs: list[np.ndarray], names: list[str], y: np.ndarray, words: int = 12_000) -> np.ndarray:
     """In how many documents of each class every subsequence stands. Some documents at a time."""
     counts, at = np.zeros((2, SPACE)), 0
     while at < len(docs):
@@ -204,7 +206,7 @@ def document_counts(docs: list[np.ndarray], names: list[str], y: np.ndarray, wor
     return counts
 
 
-def mean_entry(words: list[str], table: np.ndarray, chunk: int = 20_000) -> np.ndarray:
+def mean_entry(words: list[str], table: np.ndarray, chunk: int = 6_000) -> np.ndarray:
     """Each word's mean of table entries over its subsequences."""
     out = np.zeros(len(words))
     for k in range(0, len(words), chunk):
@@ -313,11 +315,11 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Ma
 
 def score(docs: DataFrame, machine: Machine | None, columns: list[str], name: str = "score") -> DataFrame:
     """The given columns, and each text's score under a name that is none of theirs."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    sent, mark = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
     kept = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
     at = kept.columns.index("text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(sent.value) if sent.value else None
+        known = worker_cache(("toxicity", mark), lambda: WordScores(sent.value)) if sent.value else None
         for b in batches:
             got = score_texts(b.column(at).to_pylist(), known) if known is not None else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(got)], names=[*columns, name])
