@@ -9,7 +9,7 @@ one fingerprint before anything is emitted.
 For texts that are similar but not nearly equal (`similar_documents`), 64 bits would need balls of
 millions of variants: at a Jaccard similarity of 0.8, about 15 % of all bits differ. There the same
 ball hashing runs on bands of a wider fingerprint, narrow enough that near copies are within 2 bits
-in some band, and links are verified on 64 further bits that belong to no band.
+in some band, and links are verified on all bits and on 64 further ones that belong to no band.
 
 Defined results: null and empty texts have no words and fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; repeated rows each get a row; null doc_ids take
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WorkTables
+from .common import WorkTables, worker_cache
 from .components import components
 
 CHUNK = 1 << 16
@@ -81,6 +81,7 @@ def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash", dict)
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], schema=schema)
@@ -128,7 +129,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     A band has ten bits more than the number of the corpus's texts, so a variant rarely has strangers; the
     share of differing bits that a similarity gives (the angle of equally large sets, over pi) sets how
-    far the 64 bits of a link may be apart, with one standard deviation's room.
+    far the 320 bits of a link may be apart, with one standard deviation's room. Clusters that are found
+    early link to others as one, so a large group of copies has few links.
     """
     from math import acos, pi, sqrt
 
@@ -136,6 +138,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((f"f{k}", pa.int64()) for k in range(WIDE + 1))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash", dict)
         for b in batches:
             fps = np.array([wide_fingerprint(x.as_py(), shingle) for x in b.column(2)], np.uint64).reshape(-1, WIDE + 1).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, k].copy()) for k in range(WIDE + 1))], schema=schema)
@@ -145,26 +148,56 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     prints = work.save(rows.withColumn("c", F.xxhash64(*words)), "prints")
     classes = work.save(prints.select("c", *words).dropDuplicates(["c"]), "classes")
     bits = min(64, max(28, classes.count().bit_length() + 10))
-    total, keys = 64 * WIDE, []
-    for band in range(total // bits):
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    within = lambda n: int(n * share + sqrt(n * share * (1 - share)) + 0.5)
+    # Rounds: equal bands; the balls, a link for each cluster; the balls once more, all links between clusters.
+    clusters = work.save(classes.select("c", F.col("c").alias("label"), F.lit(1).cast("long").alias("n")), "clusters-0")
+    for at, (radius, last) in enumerate(((0, False), (1, False), (1, True)), 1):
+        near = _band_links(_band_rows(classes.join(clusters, "c"), bits, radius), within(64) + 1, last)
+        if not last:
+            near = near.groupBy("b").agg(F.min_by(F.struct("a", "ca", "cb"), F.struct("gap", -F.col("n"), "ca")).alias("s")).select("s.a", "b", "s.ca", "s.cb")
+        near = work.save(near.select("a", "b", "ca", "cb"), f"near-{at}")
+        for side in "ab":
+            near = near.join(classes.select(F.col("c").alias(f"c{side}"), *(F.col(w).alias(f"{side}_{w}") for w in words)), f"c{side}")
+        gap = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+        near = near.where(gap <= within(64 * len(words)))
+        roots = components(near.select("a", "b"), work.part(f"round-{at}"))
+        joined = clusters.select("c", "label").join(roots, F.col("label") == F.col("node"), "left").select("c", F.coalesce("root", "label").alias("label"))
+        joined = work.save(joined, f"labels-{at}")
+        sizes = work.save(joined.groupBy("label").agg(F.count("*").alias("n")), f"sizes-{at}")
+        work.drop(f"clusters-{at - 1}")
+        clusters = work.save(joined.join(sizes, "label").select("c", "label", "n"), f"clusters-{at}")
+    return prints.join(clusters.select("c", F.col("label").alias("group")), "c").select("doc_id", "h", "group")
+
+
+def _band_rows(classes: DataFrame, bits: int, radius: int) -> DataFrame:
+    """label, n, c, more, band, variant: each class's bands of so many bits with all variants within the radius."""
+    keys = []
+    for band in range(64 * WIDE // bits):
         word, low = divmod(band * bits, 64)
         value = F.shiftrightunsigned(F.col(f"f{word}"), low)
         if low + bits > 64:
             value = value.bitwiseOR(F.shiftleft(F.col(f"f{word + 1}"), 64 - low))
         if bits < 64:
             value = value.bitwiseAND(F.lit((1 << bits) - 1))
-        variants = F.array(value, *(value.bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(bits)))
-        keys.append(F.struct(F.lit(band).cast("byte").alias("band"), variants.alias("variants")))
-    rows = classes.select("c", F.col(f"f{WIDE}").alias("more"), F.explode(F.array(*keys)).alias("key"))
-    rows = rows.select("c", "more", "key.band", F.explode("key.variants").alias("variant"))
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    apart = int(64 * share + sqrt(64 * share * (1 - share)) + 0.5)
-    within = Window.partitionBy("band", "variant").orderBy("c")
-    met = rows.select(F.lag("c").over(within).alias("a"), F.col("c").alias("b"), F.lag("more").over(within).alias("x"), F.col("more").alias("y"))
-    near = met.where(F.expr(f"a is not null and bit_count(x ^ y) <= {apart}")).select("a", "b").distinct()
-    roots = components(near, work)
-    named = work.save(classes.select("c").join(roots, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("group")), "named")
-    return prints.join(named, "c").select("doc_id", "h", "group")
+        flips = [value.bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(bits)] if radius else []
+        keys.append(F.struct(F.lit(band).cast("byte").alias("band"), F.array(value, *flips).alias("variants")))
+    rows = classes.select("label", "n", "c", F.col(f"f{WIDE}").alias("more"), F.explode(F.array(*keys)).alias("key"))
+    return rows.select("label", "n", "c", "more", "key.band", F.explode("key.variants").alias("variant"))
+
+
+def _band_links(rows: DataFrame, apart: int, every: bool) -> DataFrame:
+    """a, b, ca, cb, gap, n: links of clusters b to clusters a, by their members cb and ca that meet in a variant and whose further bits are near; n is the size of a.
+
+    In a variant, each is compared with a member of the largest cluster there; `every`: and with the one before it.
+    """
+    order = Window.partitionBy("band", "variant").orderBy(F.desc("n"), "label", "c")
+    ways = [F.first] + [F.lag] * every
+    seen = [F.struct(*(f(c).over(order).alias(c) for c in ("label", "c", "more", "n"))).alias(f"s{k}") for k, f in enumerate(ways)]
+    near = [f"coalesce(s{k}.label <> label and bit_count(s{k}.more ^ more) <= {apart}, false)" for k in range(len(ways))]
+    met = rows.select("label", "c", "more", *seen).where(" or ".join(near))
+    met = met.select("label", "c", "more", F.explode(F.array_compact(F.array(*(F.when(F.expr(x), F.col(f"s{k}")) for k, x in enumerate(near))))).alias("s"))
+    return met.select(F.col("s.label").alias("a"), F.col("label").alias("b"), F.col("s.c").alias("ca"), F.col("c").alias("cb"), F.expr("bit_count(s.more ^ more)").alias("gap"), "s.n").distinct()
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
