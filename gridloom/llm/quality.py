@@ -60,8 +60,8 @@ def dense(places: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 def looks(word: str) -> str:
     """Case, digits and marks, runs as one: 'Hello!!' -> 'Aa!!'. Runs of marks keep one repetition."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    return _RUNS.sub(lambda m: m[1] if m[1] in "Aa9" else 2 * m[1], out)[:8]
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    return _RUNS.sub(lambda m: m[1] if m[1] in "Aa9" else 2 * m[1], out)
 
 
 class Codes(dict):

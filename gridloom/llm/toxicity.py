@@ -39,6 +39,7 @@ MOST = {1: 2000, 0: 4000}
 LANDMARKS = 160
 CACHED_WORDS = 300_000
 THRESHOLD = 0.5
+LONG, OVERLAP = 48, 16  # letters of a piece of a very long word, and of those that two pieces share
 
 _SPLIT = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
@@ -60,9 +61,15 @@ def plain(word: str) -> str:
     return word if word.isalpha() else "".join(_SPLIT.findall(word))
 
 
+def units(word: str) -> list[str]:
+    """The word's letters; of a very long one, overlapping pieces, so that what is glued into it counts as well."""
+    letters = plain(word)
+    return [letters] if len(letters) <= LONG else [letters[k : k + LONG] for k in range(0, len(letters) - OVERLAP, LONG - OVERLAP)]
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word index, subsequence, weight) of all subsequences of all words, with marks for a word's ends."""
-    text = "".join(f"^{w[:64]}$" for w in words)  # the longest words of a language have fewer letters
+    text = "".join(f"^{w}$" for w in words)
     raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     code = np.where((raw >= 97) & (raw <= 122), raw - 96, 28 + raw % 4).astype(np.int64)
     code[raw == ord("^")], code[raw == ord("$")] = 27, 0
@@ -266,7 +273,12 @@ class WordScores(dict):
         if len(self) + len(new) > CACHED_WORDS:
             self.clear()
         new = list(new)
-        self.update(zip(new, np.maximum(table_scores([plain(w) for w in new], self.weights) + self.machine.bias, FLOOR).tolist()))
+        parts = [units(w) for w in new]
+        found = table_scores([p[0] for p in parts], self.weights)
+        for k, p in enumerate(parts):
+            if len(p) > 1:
+                found[k] = table_scores(p, self.weights).max()
+        self.update(zip(new, np.maximum(found + self.machine.bias, FLOOR).tolist()))
 
 
 def score_texts(texts: list[str | None], known: WordScores) -> np.ndarray:
@@ -301,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Ma
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [" ".join(sorted({p for w in set(tokens(t)) if (p := plain(w))})) for t in b.column(1).to_pylist()]
+            words = [" ".join(sorted({p for w in set(tokens(t)) for p in units(w) if p})) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string()), b.column(2)], names=["doc_id", "words", "y"])
 
     chosen = F.broadcast(sample(learnable(labels, "toxic"), most))  # at most sum(most) rows
