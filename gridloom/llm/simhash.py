@@ -196,7 +196,10 @@ def _band_links(rows: DataFrame, apart: int, every: bool) -> DataFrame:
     seen = [F.struct(*(f(c).over(order).alias(c) for c in ("label", "c", "more", "n"))).alias(f"s{k}") for k, f in enumerate(ways)]
     near = [f"coalesce(s{k}.label <> label and bit_count(s{k}.more ^ more) <= {apart}, false)" for k in range(len(ways))]
     met = rows.select("label", "c", "more", *seen).where(" or ".join(near))
-    met = met.select("label", "c", "more", F.explode(F.array_compact(F.array(*(F.when(F.expr(x), F.col(f"s{k}")) for k, x in enumerate(near))))).alias("s"))
+    if every:
+        met = met.select("label", "c", "more", F.explode(F.array_compact(F.array(*(F.when(F.expr(x), F.col(f"s{k}")) for k, x in enumerate(near))))).alias("s"))
+    else:
+        met = met.withColumnRenamed("s0", "s")
     return met.select(F.col("s.label").alias("a"), F.col("label").alias("b"), F.col("s.c").alias("ca"), F.col("c").alias("cb"), F.expr("bit_count(s.more ^ more)").alias("gap"), "s.n").distinct()
 
 
