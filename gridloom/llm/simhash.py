@@ -7,9 +7,9 @@ variant has at most 65 fingerprints, and a chain through them links them all. Co
 one fingerprint before anything is emitted.
 
 For texts that are similar but not nearly equal (`similar_documents`), 64 bits would need balls of
-millions of variants: at a Jaccard similarity of 0.8, about 15 % of all bits differ. There the same
-ball hashing runs on bands of a wider fingerprint, narrow enough that near copies are within 2 bits
-in some band, and links are verified on all bits and on 64 further ones that belong to no band.
+millions of variants: at a Jaccard similarity of 0.8, about 15 % of all bits differ. There candidates
+are sets of shingles that share one of their rarest, a wider fingerprint rules out most of those that
+only do that, and links are verified on the sets themselves.
 
 Defined results: null and empty texts have no words and fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; repeated rows each get a row; null doc_ids take
@@ -30,7 +30,8 @@ from .common import WorkTables, worker_cache
 from .components import components
 
 CHUNK = 1 << 16
-WIDE = 4  # 64-bit words of the wide fingerprint, and one more to verify links
+WIDE = 4  # 64-bit words of the wide fingerprint, and one more
+SAMPLE, COMMON = 8000, 500_000  # sets whose shingles are counted, about; shingles that are kept as common
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> list[int]:
@@ -63,9 +64,8 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     return majority(np.array(shingle_hashes(text, shingle, seed), "<u8"))
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """Five SimHash words of the text's different shingles: each takes the hashes' bits anew, by another odd multiplier."""
-    hashes = np.unique(np.array(shingle_hashes(text, shingle), "<u8"))
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """Five SimHash words of a set of shingles: each takes the hashes' bits anew, by another odd multiplier."""
     out = []
     for k in range(WIDE + 1):
         x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * k & 0xFFFFFFFFFFFFFFFF)
@@ -125,88 +125,146 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataF
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, h (hash of the text), group: documents that links join have the same group. Links are at the given Jaccard similarity of shingles, or a little below.
+    """doc_id, h (hash of the text), group: documents that links join have the same group. Links are the pairs of the given Jaccard similarity of shingles or more.
 
-    A band has ten bits more than the number of the corpus's texts, so a variant rarely has strangers; the
-    share of differing bits that a similarity gives (the angle of equally large sets, over pi) sets how
-    far the 320 bits of a link may be apart, with one standard deviation's room. Clusters that are found
-    early link to others as one, so a large group of copies has few links.
+    Prefix filtering: with all shingles in one order, two sets that are similar share one of the first
+    |x| - ceil(similarity |x|) + 1 shingles of both, so no pair is missed, whatever the corpus's size. Any
+    order is right; common shingles (counted on a bounded sample) come last, so that sets which share a
+    passage but little else don't meet. First each set is linked with one of each list it stands in, and
+    only sets that this leaves in different clusters are compared pair by pair, the nearest of each first.
     """
-    from math import acos, pi, sqrt
-
     work = WorkTables(docs.sparkSession, "similar")
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((f"f{k}", pa.int64()) for k in range(WIDE + 1))])
+    words = [f"f{k}" for k in range(WIDE + 1)]
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), *((w, pa.int64()) for w in words), ("tokens", pa.list_(pa.int64()))])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    common, counts = _common_shingles(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         worker_cache("simhash", dict)
         for b in batches:
-            fps = np.array([wide_fingerprint(x.as_py(), shingle) for x in b.column(2)], np.uint64).reshape(-1, WIDE + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, k].copy()) for k in range(WIDE + 1))], schema=schema)
+            sets = [np.unique(np.array(shingle_hashes(x.as_py(), shingle), "<u8")) for x in b.column(2)]
+            c = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            fps = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(-1, WIDE + 1).view(np.int64)
+            tokens = pa.array([_prefix(x, common, counts, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(WIDE + 1)), tokens], schema=schema)
+
+    prints = work.save(rows.mapInArrow(run, "doc_id long, h long, c long, n long, " + ", ".join(f"{w} long" for w in words) + ", tokens array<long>"), "prints")
+    # Equal sets are one class, and one of its rows stands for it.
+    classes = work.save(prints.groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("r"), *(F.first(x).alias(x) for x in ("n", *words))), "classes")
+    prefixes = prints.select("c", F.explode("tokens").alias("token"))
+    lists = prefixes.groupBy("token").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub <> last").select("token", "hub")
+    met = work.save(prefixes.join(work.save(lists, "lists"), "token").distinct(), "met")
+
+    sides = {side: classes.select(*(F.col(x).alias(f"{side}_{x}") for x in ("c", "n", *words))) for side in "ab"}
+    gap = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    fits = _may_be_similar(similarity, gap)
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [np.unique(np.array(shingle_hashes(x.as_py(), shingle), "<u8")).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["c", "s"])
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs (a, b) those whose sets are similar, all shingles compared."""
+        need = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        need = classes.join(need, "c").select("c", F.col("r.doc_id").alias("need_id"), F.col("r.h").alias("need_h"))
+        texts = rows.join(need, F.expr("doc_id <=> need_id and h = need_h")).select("c", "text")
+        some = work.save(texts.mapInArrow(to_sets, "c long, s binary").dropDuplicates(["c"]), f"sets-{name}")
+        pairs = pairs.join(some.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(some.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+        out = work.save(pairs.select("a", "b", "x", "y").mapInArrow(_same_sets(similarity), "a long, b long"), f"links-{name}")
+        work.drop(f"sets-{name}")
+        return out
+
+    def clusters(links: DataFrame, name: str) -> DataFrame:
+        roots = components(links, work.part(f"round-{name}"))
+        return work.save(classes.select("c").join(roots, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("label")), f"labels-{name}")
+
+    hubs = met.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
+    hubs = hubs.join(sides["a"], F.col("a") == F.col("a_c")).join(sides["b"], F.col("b") == F.col("b_c")).where(fits).select("a", "b")
+    links = similar(work.save(hubs, "hubs"), "hubs")
+    labels = clusters(links, "hubs")
+    # Lists that still hold several clusters: every pair across clusters.
+    met = work.save(met.select("token", "c").join(labels, "c"), "open")
+    mixed = met.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    met = work.save(met.join(mixed, "token").join(classes.drop("r"), "c"), "mixed")
+    x, y = (met.select("token", *(F.col(v).alias(f"{side}_{v}") for v in ("label", "c", "n", *words))) for side in "ab")
+    pairs = x.join(y, "token").where(F.expr("a_c < b_c and a_label <> b_label") & fits).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), gap.alias("gap")).distinct()
+    pairs = work.save(pairs, "pairs")
+    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).union(pairs.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")).distinct()
+    nearest = work.save(nearest, "nearest")
+    links = links.union(similar(nearest, "nearest"))
+    labels = clusters(links, "nearest")
+    rest = pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b")
+    for side in "ab":
+        rest = rest.join(labels.select(F.col("c").alias(side), F.col("label").alias(f"{side}_label")), side)
+    rest = work.save(rest.where("a_label <> b_label").select("a", "b"), "rest")
+    labels = clusters(links.union(similar(rest, "rest")), "rest")
+    out = work.save(prints.select("doc_id", "h", "c").join(labels.select("c", F.col("label").alias("group")), "c").select("doc_id", "h", "group"), "groups")
+    for part in ("prints", "met", "mixed", "open"):
+        work.drop(part)
+    return out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, " + ", ".join(f"f{k} long" for k in range(WIDE + 1)))
-    words = [f"f{k}" for k in range(WIDE + 1)]
-    prints = work.save(rows.withColumn("c", F.xxhash64(*words)), "prints")
-    classes = work.save(prints.select("c", *words).dropDuplicates(["c"]), "classes")
-    bits = min(64, max(28, classes.count().bit_length() + 10))
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    within = lambda n: int(n * share + sqrt(n * share * (1 - share)) + 0.5)
-    # Rounds: equal bands; the balls, a link for each cluster; the balls once more, all links between clusters.
-    clusters = work.save(classes.select("c", F.col("c").alias("label"), F.lit(1).cast("long").alias("n")), "clusters-0")
-    for at, (radius, last) in enumerate(((0, False), (1, False), (1, True)), 1):
-        near = _band_links(_band_rows(classes.join(clusters, "c"), bits, radius), within(64) + 1, last)
-        if not last:
-            near = near.groupBy("b").agg(F.min_by(F.struct("a", "ca", "cb"), F.struct("gap", -F.col("n"), "ca")).alias("s")).select("s.a", "b", "s.ca", "s.cb")
-        near = work.save(near.select("a", "b", "ca", "cb"), f"near-{at}")
-        for side in "ab":
-            near = near.join(classes.select(F.col("c").alias(f"c{side}"), *(F.col(w).alias(f"{side}_{w}") for w in words)), f"c{side}")
-        gap = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-        near = near.where(gap <= within(64 * len(words)))
-        roots = components(near.select("a", "b"), work.part(f"round-{at}"))
-        joined = clusters.select("c", "label").join(roots, F.col("label") == F.col("node"), "left").select("c", F.coalesce("root", "label").alias("label"))
-        joined = work.save(joined, f"labels-{at}")
-        sizes = work.save(joined.groupBy("label").agg(F.count("*").alias("n")), f"sizes-{at}")
-        work.drop(f"clusters-{at - 1}")
-        clusters = work.save(joined.join(sizes, "label").select("c", "label", "n"), f"clusters-{at}")
-    return prints.join(clusters.select("c", F.col("label").alias("group")), "c").select("doc_id", "h", "group")
-
-
-def _band_rows(classes: DataFrame, bits: int, radius: int) -> DataFrame:
-    """label, n, c, more, band, variant: each class's bands of so many bits with all variants within the radius."""
-    keys = []
-    for band in range(64 * WIDE // bits):
-        word, low = divmod(band * bits, 64)
-        value = F.shiftrightunsigned(F.col(f"f{word}"), low)
-        if low + bits > 64:
-            value = value.bitwiseOR(F.shiftleft(F.col(f"f{word + 1}"), 64 - low))
-        if bits < 64:
-            value = value.bitwiseAND(F.lit((1 << bits) - 1))
-        flips = [value.bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(bits)] if radius else []
-        keys.append(F.struct(F.lit(band).cast("byte").alias("band"), F.array(value, *flips).alias("variants")))
-    rows = classes.select("label", "n", "c", F.col(f"f{WIDE}").alias("more"), F.explode(F.array(*keys)).alias("key"))
-    return rows.select("label", "n", "c", "more", "key.band", F.explode("key.variants").alias("variant"))
-
-
-def _band_links(rows: DataFrame, apart: int, every: bool) -> DataFrame:
-    """a, b, ca, cb, gap, n: links of clusters b to clusters a, by their members cb and ca that meet in a variant and whose further bits are near; n is the size of a.
-
-    In a variant, each is compared with a member of the largest cluster there; `every`: and with the one before it.
+
+def _may_be_similar(similarity: float, gap):
+    """What sizes and fingerprints (a_n, b_n and the bits that differ) don't rule out.
+
+    The share of differing bits that a similarity gives is at most the angle of equally large sets, over pi;
+    five standard deviations more pass, and all small sets do, whose majorities are often ties.
     """
-    order = Window.partitionBy("band", "variant").orderBy(F.desc("n"), "label", "c")
-    ways = [F.first] + [F.lag] * every
-    seen = [F.struct(*(f(c).over(order).alias(c) for c in ("label", "c", "more", "n"))).alias(f"s{k}") for k, f in enumerate(ways)]
-    near = [f"coalesce(s{k}.label <> label and bit_count(s{k}.more ^ more) <= {apart}, false)" for k in range(len(ways))]
-    met = rows.select("label", "c", "more", *seen).where(" or ".join(near))
-    if every:
-        met = met.select("label", "c", "more", F.explode(F.array_compact(F.array(*(F.when(F.expr(x), F.col(f"s{k}")) for k, x in enumerate(near))))).alias("s"))
-    else:
-        met = met.withColumnRenamed("s0", "s")
-    return met.select(F.col("s.label").alias("a"), F.col("label").alias("b"), F.col("s.c").alias("ca"), F.col("c").alias("cb"), F.expr("bit_count(s.more ^ more)").alias("gap"), "s.n").distinct()
+    from math import acos, pi, sqrt
+
+    share, n = acos(2 * similarity / (1 + similarity)) / pi, 64 * (WIDE + 1)
+    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    return (least >= most * similarity - 1e-9) & ((least < 50) | (gap <= int(n * share + 5 * sqrt(n * share * (1 - share)) + 1)))
+
+
+def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample's texts have, ascending, and how many. They only order shingles, so the sample costs no pair."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(shingle_hashes(x.as_py(), shingle), "<u8")).view(np.int64))], names=["token"])
+
+    share = max(1, rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(share)) == 0).select("text")
+    found = some.mapInArrow(explode, "token long").groupBy("token").count().where("count >= 4").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    tokens, counts = found["token"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _prefix(x: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of an ascending set by count, then by hash: any similar set has one of them among its own first."""
+    first = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+        x = x[np.argsort(np.where(common[at] == x, counts[at], 0), kind="stable")]
+    return x[:first]
+
+
+def _same_sets(similarity: float):
+    """a, b and their sets x, y -> a, b of those whose Jaccard similarity is high enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(same >= similarity * (len(both) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of each group the one with the least doc_id stays (a null id is the largest), all columns as they were."""
-    work = WorkTables(docs.sparkSession, "one-of-each")
-    groups = work.save(similar_documents(docs, shingle, similarity), "groups")
+    groups = similar_documents(docs, shingle, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
     stays = groups.groupBy("group").agg(F.min(order).alias("x")).select("x.doc_id", "x.h")
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("text"))

@@ -355,6 +355,33 @@ def test_one_of_each_group_stays(spark):
     assert sum(r["text"] == "same text here" for r in edges) == 1
 
 
+def groups_of(spark, texts, family):
+    """The families that each group of similar documents has, a family for each member."""
+    from gridloom.llm.simhash import similar_documents
+
+    groups: dict = {}
+    for r in similar_documents(table(spark, texts)).collect():
+        groups.setdefault(r["group"], []).append(family[r["doc_id"]])
+    return sorted(tuple(sorted(g)) for g in groups.values())
+
+
+def with_changes(words, n):
+    """Every change takes five of the shingles, where the words are many."""
+    return " ".join("changed%d" % k if k in range(10, 10 + 30 * n, 30) else w for k, w in enumerate(words))
+
+
+def test_crowded_family_is_compared_whole(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(50_000)]
+    passage, texts, family = rng.choices(words, k=150), [], []
+    for f in range(1500):  # a third of all shingles are the passage's, and each text has one copy at 0.8 or more
+        own = rng.choices(words, k=150)
+        texts += [" ".join(own + passage), with_changes(own + passage, 2 + f % 4)]
+        family += [f, f]
+    assert all(brute.jaccard(texts[a], texts[a + 1], 5) >= 0.8 for a in range(0, 80, 2))
+    assert groups_of(spark, texts, family) == [(f, f) for f in range(1500)]
+
+
 # URL filters
 
 
