@@ -382,6 +382,18 @@ def test_crowded_family_is_compared_whole(spark):
     assert groups_of(spark, texts, family) == [(f, f) for f in range(1500)]
 
 
+def test_all_pairs_at_the_similarity_are_found(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(50_000)]
+    texts, family = [], []
+    for f in range(400):
+        w = rng.choices(words, k=300)
+        texts += [" ".join(w), with_changes(w, 6)]
+        family += [f, f]
+    assert all(0.8 <= brute.jaccard(texts[a], texts[a + 1], 5) < 0.83 for a in range(0, 80, 2))
+    assert groups_of(spark, texts, family) == [(f, f) for f in range(400)]
+
+
 # URL filters
 
 
