@@ -394,6 +394,18 @@ def test_all_pairs_at_the_similarity_are_found(spark):
     assert groups_of(spark, texts, family) == [(f, f) for f in range(400)]
 
 
+def test_less_similar_documents_stay_apart(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(50_000)]
+    texts, family = [], []
+    for f in range(400):
+        w = rng.choices(words, k=300)
+        texts += [" ".join(w), with_changes(w, 7)]
+        family += [f, f]
+    assert all(0.77 <= brute.jaccard(texts[a], texts[a + 1], 5) < 0.8 for a in range(0, 80, 2))
+    assert groups_of(spark, texts, family) == sorted((f,) for f in family)
+
+
 # URL filters
 
 
