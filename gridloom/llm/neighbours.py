@@ -3,7 +3,7 @@
 Vectors are brought to unit length and rotated at random, so that any leading columns are a fair
 sample of the distance. They are dealt to lists by their nearest of some centroids, which are fitted
 to a bounded sample; every vector is in a list. A query probes its nearest lists, as many as hold
-RECALL of the sample's true neighbours. Within a list the columns are read in blocks: after each, a
+RECALL of the sample's true neighbours, and more where those hold fewer than k others. Within a list the columns are read in blocks: after each, a
 hypothesis test compares the distance so far, scaled to all columns, with the query's k-th best, and
 candidates that are too far at the test's confidence are read no further. What is left is scored
 again on the original vectors, in double precision.
@@ -136,9 +136,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
     dealt = work.save(rows.mapInArrow(deal, "vec_id long, v array<double>, list int, probed array<int>"), "dealt")
     size = int(min(MAX_ROWS, max(MIN_ROWS, n / len(c))))
-    blocks = dealt.groupBy("list").count().select("list", F.ceil(F.col("count") / size).cast("int").alias("blocks"))  # a row for each list
-    blocks = F.broadcast(work.save(blocks, "blocks"))
-    asked = dealt.where("probed is not null").dropDuplicates(["vec_id"])
+    blocks = dealt.groupBy("list").count().select("list", "count", F.ceil(F.col("count") / size).cast("int").alias("blocks"))  # a row for each list
+    blocks = work.save(blocks, "blocks")
+    sizes = np.zeros(len(c), np.int64)
+    for r in blocks.collect():
+        sizes[r["list"]] = r["count"]
+    blocks = F.broadcast(blocks.drop("count"))
+
+    def widen(batches):
+        """Goes on to the next lists where those probed hold fewer than k rows of other vec_ids."""
+        c, probes = sent.value
+        for b in batches:
+            order = np.argsort(-(_unit(_matrix(pa.chunked_array([b.column(1)]), dim)) @ c.T), axis=1).astype(np.int32)
+            held = np.cumsum(sizes[order], axis=1)
+            enough = (held < (k + b.column(2).to_numpy())[:, None]).sum(1) + 1
+            probed = [o[: max(probes, e)] for o, e in zip(order, enough)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(probed, pa.list_(pa.int32()))], names=["vec_id", "v", "probed"])
+
+    asked = dealt.where("probed is not null").dropDuplicates(["vec_id"]).select("vec_id", "v")
+    asked = asked.join(dealt.groupBy("vec_id").agg(F.count("*").alias("copies")), "vec_id").mapInArrow(widen, "vec_id long, v array<double>, probed array<int>")
+    asked = work.save(asked, "asked")
     groups = 1 + asked.count() // QUERIES
     spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), n).cast("int")
     # The row's place in its task joins in, as rows may repeat a vec_id.

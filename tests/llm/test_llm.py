@@ -184,6 +184,25 @@ def test_neighbours(spark):
     assert nearest(df.limit(0), F.col("vec_id") == 0, 5).count() == 0
 
 
+def test_neighbours_beyond_small_lists(spark, monkeypatch):
+    from gridloom.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "centroids", lambda x, lists: np.eye(3))
+    monkeypatch.setattr(neighbours, "lists_to_probe", lambda x, c, k: 1)
+    rows = [(v, [1.0, 0.01 * v, 0.0]) for v in range(3)] + [(v, [0.2, 1.0, 0.01 * v]) for v in range(3, 40)] + [(v, [0.1, 0.01 * v, 1.0]) for v in (40, 41)] + [(0, [1.0, 0.0, 0.0])] * 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_ids(neighbours.nearest(df, F.col("vec_id").isin(0, 41), 5))
+    assert {q: len(v) for q, v in got.items()} == {0: 5, 41: 5}
+    assert set(got[0]) >= {1, 2} and 40 in got[41]
+
+
+def nearest_ids(found):
+    out: dict = {}
+    for r in found.collect():
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    return out
+
+
 # Personal data
 
 
