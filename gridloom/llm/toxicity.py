@@ -1,29 +1,31 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-The kernel of two words counts the character subsequences of three and four letters that they
-share, with one more character between two of them allowed at half the weight, so a gapped or
-stuffed insult (idxiot, i.d.i.o.t, i d i o t) still meets the plain one. Landmarks are words of the
-labelled sentences; the machine is linear in K(Z,Z)^(-1/2) k(w,Z), and as k is a sum over
-subsequences, what it learnt folds into one weight for each subsequence: a word's score is a sum of
-table entries, equal to the machine's.
-
-Labels mark documents. A sentence of a harmless document is harmless. Of a toxic document's
-sentences the worst-scoring word's is the witness: it is toxic, the others are left out, and
-witnesses are chosen anew after each training (multiple-instance learning). A document's score is a
-logistic function, fitted to the learnt rows, of its two highest different word scores.
-
-The sample of labelled rows is bounded (MOST); everything else reads whole texts.
-
-Defined results: null and empty texts have no words and get the lowest score; repeated rows each get
-a row; without labels of both classes every score is 0; other columns are not read; an empty table
-gives no rows.
+The unit is the sentence, read through windows of one and two words. The kernel of two windows sums, over
+the letter subsequences that they share, the products of their weights: DECAY to the number of letters
+skipped, up to two of them in three letters and one in four. A word's edge is a letter like any other and
+can be skipped, so an insult that is gapped, stuffed or parted (idxiot, i.d.i.o.t, i d i o t, idi ot) still
+meets the plain one, and so do two words that are harmless one by one. A window's features are divided by
+the root of the sum of its squared weights. Landmarks are windows of the labelled sentences; the machine
+is linear in K(Z,Z)^(-1/2) k(w,Z), and as k is a sum over subsequences, what it learnt folds into one
+weight for each subsequence: a window's score is a sum of table entries, equal to the machine's.
+
+Labels mark documents. A harmless document's sentences are harmless. Of a toxic document's sentences the
+highest-scoring is toxic, the others are left out, and it is chosen anew after each training (multiple-
+instance learning); a sentence's score is its highest window's. A document's score is a logistic
+function, fitted to the learnt rows, of its highest sentence's.
+
+The sample of labelled rows that is learnt from is bounded (MOST rows, LEARN_CHARS each, and NEGATIVES
+windows to train on); scores read whole texts, some PIECE characters at a time.
+
+Defined results: null and empty texts have no words and get the lowest score, that of a document without
+sentences; repeated rows each get a row, repeated labels count once; without learnable documents of both
+classes that have words every score is 0; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,75 +36,197 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 from .labelled import held_out, learnable, sample
 
-#: Labelled documents that are learnt from, at most, by class.
+#: Labelled documents that are learnt from, at most, by class; only those of so many characters are.
 MOST = {1: 2000, 0: 4000}
+LEARN_CHARS = 8_000
+#: Windows of harmless sentences that a round trains on besides the highest of each document, at most.
+NEGATIVES = 6000
 LANDMARKS = 160
-CACHED_WORDS = 300_000
+ROUNDS = 4
 THRESHOLD = 0.5
-LONG, OVERLAP = 48, 16  # letters of a piece of a very long word, and of those that two pieces share
+DECAY = 0.5
+LONG, OVERLAP = 48, 16  # letters of a window in a very long word, and of those that two windows share
+PIECE, AGAIN = 500_000, 64  # characters of a text at a time, and those of its end that the next piece reads again
+FLOOR = -2.0
 
-_SPLIT = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
-#: (offsets of the letters, weight): three and four letters, at most one other between two of them.
-_SHAPES = [((1, 2, 3), 1.0), ((2, 3, 4), 0.5), ((1, 3, 4), 0.5), ((1, 2, 4), 0.5), ((1, 2), 1.0), ((2, 3), 0.5), ((1, 3), 0.5)]
-SPACE = (1 << 20) + (1 << 15)
+#: Offsets of the letters behind the first.
+SHAPES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
+WEIGHTS = [DECAY ** (s[-1] - len(s)) for s in SHAPES]
+PLAIN = [k for k, w in enumerate(WEIGHTS) if w == 1]
+#: Bits of a subsequence's place where documents are counted, and in the folded table, of which little is filled.
+COUNTED, FOLDED = 22, 20
 
+_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+_MIX = np.uint32(0x2C1B3C6D)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+EDGE = 32  # a word's edge, in place of white space
+CODES = 0x32000  # code points that are told apart as letters; those beyond are none
 
-def tokens(text: str | None) -> list[str]:
-    """Space-separated words in lower case; letters set apart one by one are joined first."""
-    text = (text or "").lower()
-    if _SPACED.search(text):
-        text = _SPACED.sub(lambda m: "".join(_SPLIT.findall(m[0])), text)
-    return text.split()
+_kinds: list[np.ndarray] = []
 
 
-def plain(word: str) -> str:
-    """The word's letters alone."""
-    return word if word.isalpha() else "".join(_SPLIT.findall(word))
+def _kind() -> np.ndarray:
+    """Of each code point: 1 letter, 2 white space, 3 an end of a sentence before white space, 4 a line's end, 0 other."""
+    if not _kinds:
+        k = np.zeros(CODES + 1, np.uint8)
+        k[[c for c in range(CODES) if chr(c).isalpha()]] = 1
+        k[[c for c in range(CODES) if chr(c).isspace()]] = 2
+        k[[ord(c) for c in ".!?。！？"]] = 3
+        k[[10, 13, 0x2028, 0x2029]] = 4
+        _kinds.append(k)
+    return _kinds[0]
 
 
-def units(word: str) -> list[str]:
-    """The word's letters; of a very long one, overlapping pieces, so that what is glued into it counts as well."""
-    letters = plain(word)
-    return [letters] if len(letters) <= LONG else [letters[k : k + LONG] for k in range(0, len(letters) - OVERLAP, LONG - OVERLAP)]
+def prepared(text: str | None) -> str:
+    return (text or "").lower()
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, subsequence, weight) of all subsequences of all words, with marks for a word's ends."""
-    text = "".join(f"^{w}$" for w in words)
-    raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    code = np.where((raw >= 97) & (raw <= 122), raw - 96, 28 + raw % 4).astype(np.int64)
-    code[raw == ord("^")], code[raw == ord("$")] = 27, 0
-    of = np.cumsum(raw == ord("^")) - 1
-    rows, cols, weights = [], [], []
-    for offsets, weight in _SHAPES:
-        last = offsets[-1]
-        if len(code) <= last:
-            continue
-        n = len(code) - last
-        at = code[:n].copy()
-        for o in offsets:
-            at = at * 32 + code[o : o + n]
-        ok = of[:n] == of[last:]
-        rows.append(of[:n][ok])
-        cols.append(at[ok] + (1 << 20) * (len(offsets) == 2))
-        weights.append(np.full(int(ok.sum()), weight))
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(weights)
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """The text in parts of a bounded length; each reads the end of the one before again, from a white space on."""
+    at = 0
+    while len(text) - at > size:
+        yield text[at : at + size]
+        found = text.find(" ", at + size - AGAIN, at + size)
+        at = found if found > at else at + size - AGAIN
+    yield text[at:]
 
 
-def table_scores(words: list[str], table: np.ndarray, chunk: int = 6_000) -> np.ndarray:
-    """Each word's sum of table entries over its subsequences, by its norm."""
-    out = np.zeros(len(words))
-    for k in range(0, len(words), chunk):
-        part = words[k : k + chunk]
-        row, col, weight = subsequences(part)
-        norm = np.sqrt(np.maximum(np.bincount(row, weight * weight, len(part)), 1e-9))
-        out[k : k + chunk] = np.bincount(row, weight * table[col], len(part)) / norm
+@dataclass
+class Stream:
+    """Letters and edges of many texts, and their windows: first letter, length, sentence."""
+
+    code: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    sentence: np.ndarray
+    text_of: np.ndarray  # of each sentence that has a window
+
+    def window(self, k: int) -> str:
+        return "".join(" " if c == EDGE else chr(c) for c in self.code[self.start[k] : self.start[k] + self.size[k]])
+
+
+def _ones_joined(at: np.ndarray, edge: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Without the edges between letters that are set apart one by one, three or more of them."""
+    edges = np.flatnonzero(edge)
+    one = np.diff(edges) == 2
+    of = sentence[at[edges[:-1] + 1]] if len(edges) > 1 else np.empty(0, np.int64)
+    link = one[1:] & one[:-1] & (of[1:] == of[:-1])
+    wide = np.r_[False, link, False]
+    link &= wide[:-2] | wide[2:]
+    return np.delete(at, edges[1:-1][link])
+
+
+def stream(texts: list[str]) -> Stream:
+    """Windows of one word, with its edges, and of two neighbours in a sentence; of a very long word, overlapping parts."""
+    joined = "\n" + "\n".join(texts) + "\n"
+    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kind()[np.minimum(raw, CODES)]
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])  # the line's end before each text
+    blank = (kind == 2) | (kind == 4)
+    close = (kind == 4) | ((kind == 3) & np.r_[blank[1:], True])
+    sentence = np.cumsum(close, dtype=np.int32)  # as of each character
+    at = np.flatnonzero((kind == 1) | blank)
+    edge = blank[at]
+    at = at[np.r_[True, ~(edge[1:] & edge[:-1])]]  # one edge between words
+    at = _ones_joined(at, blank[at], sentence)
+    edge = blank[at]
+    code = np.where(edge, np.uint32(EDGE), raw[at])
+    edges = np.flatnonzero(edge)
+    first, size = edges[:-1], np.diff(edges) + 1  # a word with both edges; the joined text begins and ends with one
+    if not len(first):
+        none = np.empty(0, np.int64)
+        return Stream(code, none, none, none, none)
+    of = sentence[at[first + 1]]
+    text = np.searchsorted(ends, at[first + 1], "right") - 1
+    short = size <= LONG + 2
+    two = np.flatnonzero(short[1:] & short[:-1] & (of[1:] == of[:-1]))  # texts begin a sentence each
+    long = np.flatnonzero(~short)
+    parts = -(-(size[long] - OVERLAP) // (LONG - OVERLAP))
+    shift = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * (LONG - OVERLAP)
+    word = np.concatenate([np.flatnonzero(short), two, np.repeat(long, parts)])
+    begin = np.concatenate([first[short], first[two], np.repeat(first[long], parts) + shift])
+    length = np.concatenate([size[short], size[two] + size[two + 1] - 1, np.minimum(LONG, np.repeat(size[long], parts) - shift)])
+    order = np.argsort(word, kind="stable")
+    word, begin, length = word[order], begin[order], length[order]
+    new = np.r_[True, of[word][1:] != of[word][:-1]]
+    return Stream(code, begin.astype(np.int32), length.astype(np.int32), np.cumsum(new, dtype=np.int32) - 1, text[word][new])
+
+
+def _keys(code: np.ndarray) -> list[np.ndarray]:
+    return [code * m for m in _ODD]
+
+
+def places(keys: list[np.ndarray], shape: tuple[int, ...], bits: int) -> np.ndarray:
+    """The place of the subsequence of that shape at each letter that has one."""
+    n = len(keys[0]) - shape[-1]
+    if n <= 0:
+        return np.empty(0, np.uint32)
+    key = keys[0][:n] + keys[1][shape[0] : shape[0] + n]
+    key += keys[2][shape[1] : shape[1] + n]
+    if len(shape) == 3:
+        key += keys[3][shape[2] : shape[2] + n]
+    key ^= key >> np.uint32(15)
+    key *= _MIX
+    key >>= np.uint32(32 - bits)
+    return key
+
+
+def hashes(s: Stream) -> np.ndarray:
+    """A 64-bit name of each window's letters."""
+    power = np.cumprod(np.r_[np.uint64(1), np.full(len(s.code), _STEP)])
+    back = np.cumprod(np.r_[np.uint64(1), np.full(len(s.code), _BACK)])
+    upto = np.r_[np.uint64(0), np.cumsum((s.code.astype(np.uint64) * _BACK + np.uint64(1)) * power[:-1])]
+    return (upto[s.start + s.size] - upto[s.start]) * back[s.start]
+
+
+def norms(size: np.ndarray, shapes: list[int] | None = None, squared: bool = True) -> np.ndarray:
+    """By a window's length, the root of the sum of its squared weights (or the number of its subsequences)."""
+    out = np.zeros(len(size))
+    for k in range(len(SHAPES)) if shapes is None else shapes:
+        out += np.maximum(size - SHAPES[k][-1], 0) * (WEIGHTS[k] ** 2 if squared else 1)
+    return np.sqrt(np.maximum(out, 1e-9)) if squared else np.maximum(out, 1)
+
+
+def table_sums(s: Stream, table: np.ndarray, shapes: list[int] | None = None) -> np.ndarray:
+    """Each window's weighted sum of table entries over its subsequences."""
+    out, keys, bits = np.zeros(len(s.start)), _keys(s.code), len(table).bit_length() - 1
+    shapes = list(range(len(SHAPES))) if shapes is None else shapes
+    for last in sorted({SHAPES[k][-1] for k in shapes}):
+        got = None
+        for k in shapes:
+            if SHAPES[k][-1] == last:
+                x = table[places(keys, SHAPES[k], bits)]
+                if WEIGHTS[k] != 1:
+                    x *= np.float32(WEIGHTS[k])
+                got = x if got is None else np.add(got, x, out=got)
+        upto = np.zeros(len(s.code) + 1)
+        np.cumsum(got, out=upto[1 : len(got) + 1], dtype=float)
+        upto[len(got) + 1 :] = upto[len(got)]
+        out += upto[np.maximum(s.start + s.size - last, s.start)] - upto[s.start]
     return out
 
 
+def of_windows(windows: list[str]) -> Stream:
+    """A stream of windows as they are (edges as spaces), each its own."""
+    code = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32) for w in windows)])
+    size = np.array([len(w) for w in windows], np.int64)
+    return Stream(code, np.cumsum(size) - size, size, np.arange(len(size)), np.arange(len(size)))
+
+
+def subsequences(s: Stream, shapes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, place, weight) of all subsequences of windows that follow each other without a gap."""
+    keys = _keys(s.code)
+    of, rows, cols, weights = np.repeat(np.arange(len(s.size)), s.size), [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for k in range(len(SHAPES)) if shapes is None else shapes:
+        at, last = places(keys, SHAPES[k], FOLDED).astype(np.int64), SHAPES[k][-1]
+        ok = of[: len(at)] == of[last : last + len(at)]
+        rows.append(of[: len(at)][ok])
+        cols.append(at[ok])
+        weights.append(np.full(int(ok.sum()), WEIGHTS[k]))
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(weights)
+
+
 @dataclass
 class Machine:
     """What scoring needs: the folded table (of some thousand subsequences), the bias, and the logistic function."""
@@ -113,43 +237,43 @@ class Machine:
     logistic: np.ndarray
 
     def table(self) -> np.ndarray:
-        out = np.zeros(SPACE, np.float32)
+        out = np.zeros(1 << FOLDED, np.float32)
         out[self.cols] = self.values
         return out
 
 
 class Kernel:
-    """Nystroem features of words for given landmarks."""
+    """Nystroem features of windows for given landmarks."""
 
     def __init__(self, landmarks: list[str]):
-        row, col, weight = subsequences(landmarks)
-        norm = np.sqrt(np.bincount(row, weight * weight, len(landmarks)))
+        s = of_windows(landmarks)
+        row, col, weight = subsequences(s)
         self.cols, at = np.unique(col, return_inverse=True)
         self.by = np.zeros((len(self.cols), len(landmarks)))
-        np.add.at(self.by, (at, row), weight / norm[row])
+        np.add.at(self.by, (at, row), weight / norms(s.size)[row])
         value, vector = np.linalg.eigh(self.by.T @ self.by)
         keep = value > 1e-6 * value[-1]
         self.root = vector[:, keep] / np.sqrt(value[keep])
 
-    def features(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), self.root.shape[1]), np.float32)
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
-            row, col, weight = subsequences(part)
-            norm = np.sqrt(np.maximum(np.bincount(row, weight * weight, len(part)), 1e-9))
-            at = np.searchsorted(self.cols, col)
-            at[at == len(self.cols)] = 0
+    def near(self, windows: list[str]) -> np.ndarray:
+        """The kernel of each window with each landmark."""
+        out = np.zeros((len(windows), self.by.shape[1]))
+        for k in range(0, len(windows), 500):
+            s = of_windows(windows[k : k + 500])
+            row, col, weight = subsequences(s)
+            at = np.minimum(np.searchsorted(self.cols, col), len(self.cols) - 1)
             hit = self.cols[at] == col
-            row, at, weight = row[hit], at[hit], (weight / norm[row])[hit]
-            near = np.zeros((len(part), self.by.shape[1]))
+            row, at, weight = row[hit], at[hit], (weight / norms(s.size)[row])[hit]
             order = np.argsort(row, kind="stable")
             row, at, weight = row[order], at[order], weight[order]
             if len(row):
                 first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                near[row[first]] = np.add.reduceat(self.by[at] * weight[:, None], first, axis=0)
-            out[k : k + 500] = near @ self.root
+                out[k + row[first]] = np.add.reduceat(self.by[at] * weight[:, None], first, axis=0)
         return out
 
+    def features(self, windows: list[str]) -> np.ndarray:
+        return self.near(windows) @ self.root
+
     def fold(self, beta: np.ndarray) -> np.ndarray:
         """The table entries of self.cols for a machine linear in the features."""
         return self.by @ (self.root @ beta)
@@ -183,146 +307,150 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
-def _top_two(docs: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
-    """Of each document (indices of its words) the two highest scores; a floor where it has fewer."""
-    out = np.full((len(docs), 2), FLOOR)
-    for k, ids in enumerate(docs):
-        if len(ids):
-            top = np.sort(scores[ids])[-2:][::-1]
-            out[k, : len(top)] = np.maximum(top, FLOOR)
-    return out
-
-
-FLOOR = -2.0
+def _highest(s: Stream, scores: np.ndarray) -> np.ndarray:
+    """The window with the highest score of each sentence; the first of several."""
+    if not len(scores):
+        return np.empty(0, np.int64)
+    begins = np.flatnonzero(np.r_[True, np.diff(s.sentence) > 0])
+    top = np.flatnonzero(scores == np.maximum.reduceat(scores, begins)[s.sentence])
+    return top[np.r_[True, np.diff(s.sentence[top]) > 0]]
 
 
-def document_counts(docs: list[np.ndarray], names: list[str], y: np.ndarray, words: int = 12_000) -> np.ndarray:
-    """In how many documents of each class every subsequence stands. Some documents at a time."""
-    counts, at = np.zeros((2, SPACE)), 0
-    while at < len(docs):
-        to, n = at, 0
-        while to < len(docs) and (to == at or n + len(docs[to]) <= words):
-            n += len(docs[to])
+def _parts(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(texts):
+        to, chars = at, 0
+        while to < len(texts) and (to == at or chars < size):
+            chars += len(texts[to])
             to += 1
-        of = np.repeat(np.arange(to - at), [len(d) for d in docs[at:to]])
-        row, col, _ = subsequences([names[w] for d in docs[at:to] for w in d])
-        key = np.unique(of[row] * SPACE + col)
-        for c in (0, 1):
-            counts[c] += np.bincount(key[y[at:to][key // SPACE] == c] % SPACE, minlength=SPACE)
+        yield at, to
         at = to
-    return counts
 
 
-def mean_entry(words: list[str], table: np.ndarray, chunk: int = 6_000) -> np.ndarray:
-    """Each word's mean of table entries over its subsequences."""
-    out = np.zeros(len(words))
-    for k in range(0, len(words), chunk):
-        part = words[k : k + chunk]
-        row, col, _ = subsequences(part)
-        out[k : k + chunk] = np.bincount(row, table[col], len(part)) / np.maximum(np.bincount(row, minlength=len(part)), 1)
-    return out
-
-
-def fit(texts: Iterable[Iterable[str]], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 4) -> Machine:
-    """texts: each document's different words (letters only, as they come from `plain`), in a fixed order."""
-    index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in t], np.int64) for t in texts]
-    names = list(index)
-    del index
-    toxic = [d for d, c in zip(docs, y) if c and len(d)]
-    harmless = [d for d, c in zip(docs, y) if not c and len(d)]
-    # Which subsequences do toxic documents have and harmless ones lack? Counted by document.
-    counts = document_counts(docs, names, np.asarray(y))
-    odds = np.log((counts[1] + 0.5) / (len(toxic) + 1)) - np.log((counts[0] + 0.5) / (len(harmless) + 1))
-    odds *= counts[1] / (counts[1] + 5)  # rare ones prove little
-    scores = mean_entry(names, odds)
-    held: set[int] = set()
-    common = np.zeros(len(names), np.int64)
-    for d in harmless:
-        common[d] += 1
-    ordinary = np.argsort(-common, kind="stable")
-    spread = np.random.default_rng(0).permutation(len(names))
-    machine = None
-    for _ in range(rounds):
-        witness = np.array([d[np.argmax(scores[d])] for d in toxic])
-        worst = np.array([d[np.argmax(scores[d])] for d in harmless])
-        held |= set(worst.tolist())
-        seen, often = np.unique(witness, return_counts=True)
-        clean = common[seen] <= 0.002 * len(harmless)
-        first = seen[clean][np.argsort(-(often * np.maximum(scores[seen], 0))[clean], kind="stable")]
-        chosen = list(dict.fromkeys([*first[: landmarks // 2].tolist(), *worst[np.argsort(-scores[worst], kind="stable")][: landmarks // 4].tolist(), *ordinary[: landmarks // 8].tolist()]))[:landmarks]
-        kernel = Kernel([names[k] for k in chosen])
-        good = np.array(sorted({*held, *ordinary[:3000].tolist(), *spread[:6000][common[spread[:6000]] > 0].tolist()} - set(first.tolist())), np.int64)
-        ids = np.concatenate([witness, good])
-        label = np.r_[np.ones(len(witness)), -np.ones(len(good))]
+def log_odds(streams: list[Stream], y: np.ndarray) -> np.ndarray:
+    """By place: how much likelier a toxic document has the subsequence (without gaps) than a harmless one."""
+    counts, size = np.zeros((2, 1 << COUNTED)), 1 << COUNTED
+    for s in streams:
+        if not len(s.start):
+            continue
+        text = np.zeros(len(s.code), np.int64)
+        text[s.start] = s.text_of[s.sentence]
+        text = np.maximum.accumulate(text)
+        keys = _keys(s.code)
+        for k in PLAIN:
+            at, last = places(keys, SHAPES[k], COUNTED), SHAPES[k][-1]
+            same = text[: len(at)] == text[last : last + len(at)]
+            key = np.sort((text[: len(at)][same] << COUNTED) + at[same])
+            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+            for c in (0, 1):
+                counts[c] += np.bincount(key[y[key >> COUNTED] == c] & (size - 1), minlength=size)
+    n = [int((y == c).sum()) for c in (0, 1)]
+    odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
+    return (odds * (counts[1] / (counts[1] + 5))).astype(np.float32)  # rare ones prove little
+
+
+class Windows:
+    """How many texts of each class have a window, by its name."""
+
+    def __init__(self, streams: list[Stream], y: np.ndarray):
+        self.names, self.counts = [], []
+        for c in (0, 1):
+            each = []
+            for s in streams:
+                own = s.text_of[s.sentence]
+                pick = y[own] == c
+                name = hashes(s)[pick]
+                each.append(name[np.unique(name + own[pick].astype(np.uint64) * _STEP, return_index=True)[1]])  # a text's once
+            name, count = np.unique(np.concatenate(each), return_counts=True)
+            self.names.append(name)
+            self.counts.append(count / max(1, int((y == c).sum())))
+
+    def share(self, c: int, windows: list[str]) -> np.ndarray:
+        h = hashes(of_windows(windows))
+        at = np.minimum(np.searchsorted(self.names[c], h), len(self.names[c]) - 1)
+        return np.where(self.names[c][at] == h, self.counts[c][at], 0.0)
+
+
+def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine | None:
+    """A machine from prepared texts, in a fixed order, and their labels; None if a class has no text with words."""
+    streams = []
+    for a, b in _parts(texts):
+        s = stream(texts[a:b])
+        s.text_of = s.text_of + a
+        streams.append(s)
+    text_of = np.concatenate([s.text_of for s in streams] or [np.empty(0, np.int64)])
+    if len(set(y[text_of].tolist())) < 2:
+        return None
+    odds, found = log_odds(streams, y), Windows(streams, y)
+    score_of = lambda s: table_sums(s, odds, PLAIN) / norms(s.size, PLAIN, squared=False)
+    rng, plain = np.random.default_rng(0), []
+    for s in streams:  # windows of harmless texts, whichever
+        pick = np.flatnonzero(y[s.text_of[s.sentence]] == 0)
+        plain += [s.window(k) for k in rng.permutation(pick)[: -(-NEGATIVES // len(streams))]]
+    held: dict[str, None] = dict.fromkeys(plain)
+    machine = Machine(np.empty(0, np.int64), np.empty(0), 0.0, np.zeros(2))
+    for turn in range(rounds + 1):
+        scores, tops = [], []
+        for s in streams:
+            got = score_of(s)
+            tops.append(_highest(s, got))
+            scores.append(got[tops[-1]])
+        scores, top, stream_of = np.concatenate(scores), np.concatenate(tops), np.repeat(np.arange(len(tops)), [len(t) for t in tops])
+        by_text = np.lexsort((-scores, text_of))
+        best = by_text[np.r_[True, np.diff(text_of[by_text]) > 0]]  # each document's highest sentence
+        if turn == rounds:
+            machine.logistic = logistic(np.maximum(scores[best], FLOOR)[:, None], y[text_of[best]].astype(float))
+            return machine
+        toxic, harmless = best[y[text_of[best]] == 1], best[y[text_of[best]] == 0]
+        windows = {k: streams[stream_of[k]].window(top[k]) for k in best.tolist()}
+        held |= dict.fromkeys(windows[k] for k in harmless)
+        # What harmless texts have as well proves nothing.
+        names = [windows[k] for k in toxic]
+        clean = found.share(1, names) >= 10 * found.share(0, names)
+        toxic = toxic[clean] if clean.any() else toxic
+        witness = [windows[k] for k in toxic]
+        often: dict[str, float] = {}
+        for k in toxic:
+            often[windows[k]] = often.get(windows[k], 0.0) + max(scores[k], 0)
+        first = sorted(often, key=lambda w: (-often[w], w))
+        chosen = [*first[: landmarks // 2], *(windows[k] for k in harmless[np.argsort(-scores[harmless], kind="stable")][: landmarks // 4]), *plain[: landmarks // 4]]
+        kernel = Kernel(list(dict.fromkeys(chosen))[:landmarks])
+        good = sorted({*held} - {*first})
         weight = np.r_[np.full(len(witness), 1 / len(witness)), np.full(len(good), 1 / max(1, len(good)))]
-        beta, bias = svm(kernel.features([names[k] for k in ids]), label, weight * len(ids))
-        machine = Machine(kernel.cols, kernel.fold(beta), bias, np.zeros(3))
-        scores = table_scores(names, machine.table()) + bias
-    machine.logistic = logistic(_top_two(docs, scores), np.asarray(y, float))
+        beta, bias = svm(kernel.features([*witness, *good]), np.r_[np.ones(len(witness)), -np.ones(len(good))], weight * len(weight))
+        machine = Machine(kernel.cols, kernel.fold(beta), bias, np.zeros(2))
+        table = machine.table()
+        score_of = lambda s, table=table, bias=bias: table_sums(s, table) / norms(s.size) + bias
     return machine
 
 
-class WordScores(dict):
-    """word as it stands -> score; scored many at a time, kept up to a bound."""
-
-    def __init__(self, machine: Machine):
-        self.machine, self.weights = machine, machine.table()
-
-    def learn(self, new: set[str]) -> None:
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
-        new = list(new)
-        parts = [units(w) for w in new]
-        found = table_scores([p[0] for p in parts], self.weights)
-        for k, p in enumerate(parts):
-            if len(p) > 1:
-                found[k] = table_scores(p, self.weights).max()
-        self.update(zip(new, np.maximum(found + self.machine.bias, FLOOR).tolist()))
-
-
-def score_texts(texts: list[str | None], known: WordScores) -> np.ndarray:
-    out = np.full((len(texts), 2), FLOOR)
-    at = 0
-    while at < len(texts):
-        to, chars, words = at, 0, []
-        while to < len(texts) and (to == at or chars < 2_000_000):
-            chars += len(texts[to] or "")
-            words.append(set(tokens(texts[to])))
-            to += 1
-        every = set().union(*words)
-        new = every.difference(known)
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = every
-            known.learn(new)
-        for k, w in enumerate(words):
-            if w:
-                top = sorted(map(known.__getitem__, w))[-2:]
-                out[at + k, 0] = top[-1]
-                # the same word with another mark counts once
-                out[at + k, 1] = next((s for s in sorted({*map(known.__getitem__, w)}, reverse=True)[1:2]), FLOOR)
-        at = to
-    a, b, c = known.machine.logistic
-    return 1 / (1 + np.exp(-np.clip(a * out[:, 0] + b * out[:, 1] + c, -30, 30)))
+def score_texts(texts: list[str | None], machine: Machine, table: np.ndarray) -> np.ndarray:
+    """The probability of each text."""
+    top = np.full(len(texts), FLOOR)
+    parts, of = [], []
+    for k, t in enumerate(texts):
+        for p in pieces(prepared(t)):
+            if p:
+                parts.append(p)
+                of.append(k)
+    of = np.array(of, np.int64)
+    for a, b in _parts(parts, PIECE):
+        s = stream(parts[a:b])
+        if len(s.start):
+            got = table_sums(s, table) / norms(s.size) + machine.bias
+            begins = np.flatnonzero(np.r_[True, np.diff(s.text_of[s.sentence]) > 0])
+            np.maximum.at(top, of[a + s.text_of[s.sentence[begins]]], np.maximum.reduceat(got, begins))
+    slope, constant = machine.logistic
+    return 1 / (1 + np.exp(-np.clip(slope * top + constant, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Machine | None:
     """A machine fitted to a bounded sample of labelled documents; None without both classes."""
-
-    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [" ".join(sorted({p for w in set(tokens(t)) for p in units(w) if p})) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string()), b.column(2)], names=["doc_id", "words", "y"])
-
-    chosen = F.broadcast(sample(learnable(labels, "toxic"), most))  # at most sum(most) rows
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "y").mapInArrow(different, "doc_id long, words string, y int")
-    got = sorted(rows.groupBy("doc_id").agg(F.min("words").alias("words"), F.max("y").alias("y")).collect())
-    y = np.array([r["y"] for r in got])
-    if len(set(y.tolist())) < 2:
-        return None
-    return fit((r["words"].split() for r in got), y)
+    marked = docs.select("doc_id", "text").where(F.length("text") <= LEARN_CHARS).join(learnable(labels, "toxic"), "doc_id")
+    chosen = sample(marked.select("doc_id", "y").distinct(), most)
+    rows = docs.select("doc_id", "text").where(F.length("text") <= LEARN_CHARS).join(F.broadcast(chosen), "doc_id")  # at most sum(most) rows
+    got = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect())
+    return fit([prepared(r["text"]) for r in got], np.array([r["y"] for r in got], np.int64))
 
 
 def score(docs: DataFrame, machine: Machine | None, columns: list[str], name: str = "score") -> DataFrame:
@@ -330,10 +458,11 @@ def score(docs: DataFrame, machine: Machine | None, columns: list[str], name: st
     sent, mark = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
     kept = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
     at = kept.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_cache(("toxicity", mark), lambda: WordScores(sent.value)) if sent.value else None
+        table = worker_cache(("toxicity", mark), sent.value.table) if sent.value else None
         for b in batches:
-            got = score_texts(b.column(at).to_pylist(), known) if known is not None else np.zeros(b.num_rows)
+            got = score_texts(b.column(at).to_pylist(), sent.value, table) if table is not None else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(got)], names=[*columns, name])
 
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
