@@ -533,7 +533,7 @@ def test_contamination(spark):
     assert [r["n_hit"] for r in twice] == [3, 3]
 
 
-def test_windows_in_blocks(spark, monkeypatch):
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     from gridloom.llm import decontaminate as D
 
     rng = random.Random(19)
@@ -541,19 +541,20 @@ def test_windows_in_blocks(spark, monkeypatch):
     texts = [f"{prose(rng, 5)} {items[k][1]} {prose(rng, 5)}" for k in range(20)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(tuple(r) for r in D.contamination(table(spark, texts), bench).collect())
-    monkeypatch.setattr(D, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(D, "BLOCK_BYTES", -1)
     assert sorted(tuple(r) for r in D.contamination(table(spark, texts), bench).collect()) == whole
 
 
 def test_proximity(spark):
     from gridloom.llm.common import WorkTables
-    from gridloom.llm.decontaminate import index_of, occurrences
+    from gridloom.llm.decontaminate import search
 
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     texts = ["x alpha beta gamma delta y", "delta so gamma then beta alpha", "alpha beta x x x x x x x x gamma delta", "alpha beta gamma"]
-    work = WorkTables(spark, "near")
-    got = occurrences(index_of(table(spark, texts), work), bench, work, 10, slop=2).collect()
-    assert {(r["doc_id"], r["exact"]) for r in got} == {(0, True), (1, False)}
+    index = search(table(spark, texts), bench, 10, WorkTables(spark, "near"))
+    assert {(r["doc_id"], r["start"], r["length"], r["exact"]) for r in index.near(2).collect()} == {(0, 1, 4, True), (1, 0, 6, False)}
+    # From the rarest term on.
+    assert [t["n"] for t in index.windows.first()["terms"]] == [3, 4, 4, 4]
 
 
 # Pipeline
