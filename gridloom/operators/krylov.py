@@ -10,7 +10,8 @@ from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..store import Steps
@@ -80,92 +81,121 @@ def _norm(x: DataFrame) -> float:
     return x.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 0.0
 
 
+def _sums(steps: Steps, name: str, df: DataFrame, **sums) -> tuple[DataFrame, dict]:
+    """Keeps the table, and gives sums over its rows that are taken while it is written."""
+    seen = Observation()
+    kept = steps.keep(name, df.observe(seen, *(F.sum(s).alias(k) for k, s in sums.items())))
+    return kept, {k: v or 0.0 for k, v in seen.get.items()}
+
+
 def pcg(a: DataFrame, b: DataFrame, precond: Preconditioner | None = None, tolerance: float = 1e-8, most: int = 200) -> SolveResult:
-    """Conjugate gradients. x, r and p are columns of one table, so an iteration is one product and one join."""
+    """Conjugate gradients. x, r, p and q = a p are columns of one table, written once an iteration.
+
+    What the next iteration needs of dot products follows from sums that are taken while the table is
+    written, as r and x move along known columns. A preconditioner that isn't a diagonal is applied to a
+    table of its own.
+    """
     steps, precond = Steps(a.sparkSession, "pcg"), precond or Identity()
     a, rows = steps.keep("a", a), b.select("i")
-    z = precond.apply(b).select("i", F.col("v").alias("z"))
-    state = steps.keep("state", b.select("i", F.lit(0.0).alias("x"), F.col("v").alias("r")).join(z, "i").select("i", "x", "r", "z", F.col("z").alias("p")))
-    rz, start = state.agg(F.sum(F.col("r") * F.col("z")), F.sqrt(F.sum(F.col("r") * F.col("r")))).first()
-    left, at = start, 0
+    scale = precond.d if isinstance(precond, Jacobi) else None
+    diagonal = scale is not None or isinstance(precond, Identity)
+    state = b.select("i", F.lit(0.0).alias("x"), F.col("v").alias("r"))
+    state = state.join(scale, "i") if scale is not None else state.withColumn("d", F.lit(1.0))
+    z = F.col("r") / F.col("d")
+    if diagonal:
+        state = state.select("*", z.alias("p"))
+    else:
+        state = steps.keep("start", state)
+        state = state.join(precond.apply(state.select("i", F.col("r").alias("v"))).select("i", F.col("v").alias("p")), "i")
+    state, s = _sums(steps, "state", state, rz=F.col("r") * F.col("p"), rr=F.col("r") * F.col("r"))
+    rz, start, left, at = s["rz"], np.sqrt(s["rr"]), np.sqrt(s["rr"]), 0
     while start and left > tolerance * start and at < most:
         at += 1
         q = M.spmv(a, state.select("i", F.col("p").alias("v")), rows).withColumnRenamed("v", "q")
-        state = steps.keep("product", state.join(q, "i"))
-        alpha = rz / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        moved = state.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
-        if not isinstance(precond, Identity):
+        c = {k: F.col(k) for k in "rqpd"}
+        state, s = _sums(steps, "product", state.join(q, "i"), pq=c["p"] * c["q"], rr=c["r"] * c["r"], rq=c["r"] * c["q"], qq=c["q"] * c["q"], zr=c["r"] * c["r"] / c["d"], zq=c["r"] * c["q"] / c["d"], qz=c["q"] * c["q"] / c["d"])
+        alpha = rz / s["pq"]
+        moved = state.select("i", (F.col("x") + alpha * c["p"]).alias("x"), (c["r"] - alpha * c["q"]).alias("r"), "d", "p")
+        if diagonal:
+            left = np.sqrt(max(0.0, s["rr"] - 2 * alpha * s["rq"] + alpha**2 * s["qq"]))
+            new = s["zr"] - 2 * alpha * s["zq"] + alpha**2 * s["qz"]
+            state = moved.select("i", "x", "r", "d", (z + (new / rz) * F.col("p")).alias("p"))
+        else:
             moved = steps.keep("moved", moved)
             moved = moved.join(precond.apply(moved.select("i", F.col("r").alias("v"))).select("i", F.col("v").alias("z")), "i")
-        else:
-            moved = moved.withColumn("z", F.col("r"))
-        new, left = moved.agg(F.sum(F.col("r") * F.col("z")), F.sqrt(F.sum(F.col("r") * F.col("r")))).first()
-        state = steps.keep("state", moved.select("i", "x", "r", "z", (F.col("z") + (new / rz) * F.col("p")).alias("p")))
+            moved, s = _sums(steps, "next", moved, rz=F.col("r") * F.col("z"), rr=F.col("r") * F.col("r"))
+            left, new = np.sqrt(s["rr"]), s["rz"]
+            state = moved.select("i", "x", "r", "d", (F.col("z") + (new / rz) * F.col("p")).alias("p"))
         rz = new
-    return SolveResult(state.select("i", F.col("x").alias("v")), at, left / start if start else 0.0, "Conv" if not start or left <= tolerance * start else "NoConv")
+    return SolveResult(steps.keep("solution", state.select("i", F.col("x").alias("v"))), at, left / start if start else 0.0, "Conv" if not start or left <= tolerance * start else "NoConv")
 
 
 def gmres(a: DataFrame, b: DataFrame, precond: Preconditioner | None = None, options: GmresOptions = GmresOptions()) -> SolveResult:
-    """Restarted GMRES, preconditioned on the right. A column's dot products with the whole basis are one sum by basis vector."""
+    """Restarted GMRES, preconditioned on the right.
+
+    x, the basis (an array of at most `restart` numbers) and the newest product w are columns of one table,
+    written once a step; w's dot products with the basis are taken as it is written. A second pass over
+    it (CGS2) or one for each basis vector (MGS) makes w orthogonal; its length follows from the sums.
+    """
+    if options.ortho not in ("CGS2", "MGS"):
+        raise ValueError(f"ortho {options.ortho!r}")
     steps, precond = Steps(a.sparkSession, "gmres"), precond or Identity()
     a, rows = steps.keep("a", a), b.select("i")
-    size = _norm(b)
-    x = steps.keep("x", b.select("i", F.lit(0.0).alias("v")))
+    v, w = F.col("basis"), F.col("w")
+    table, s = _sums(steps, "state", b.select("i", "v", F.lit(0.0).alias("x"), F.col("v").alias("r")), rr=F.col("r") * F.col("r"))
+    size = beta = np.sqrt(s["rr"])
     if not size:
-        return SolveResult(x, 0, 0.0, "Conv")
+        return SolveResult(table.select("i", F.col("x").alias("v")), 0, 0.0, "Conv")
     total, flag, true = 0, "NoConv", 1.0
     for _ in range(options.restarts):
-        r = steps.keep("r", _plus(b, -1.0, M.spmv(a, x, rows)))
-        beta = _norm(r)
         true = beta / size
         if true < options.tolerance:
             flag = "Conv"
             break
-        v = r.select("i", (F.col("v") / beta).alias("v"))
-        basis = [steps.keep("v0", v.withColumn("k", F.lit(0)))]
-        h = np.zeros((options.restart + 1, options.restart))
-        done = 0
+        table = table.select("i", "v", "x", F.array(F.col("r") / beta).alias("basis"))
+        h, done = np.zeros((options.restart + 1, options.restart)), 0
         for k in range(options.restart):
-            w = steps.keep("w", M.spmv(a, precond.apply(basis[k].select("i", "v")), rows))
-            every = basis[0]
-            for extra in basis[1:]:
-                every = every.unionByName(extra)
+            newest = precond.apply(table.select("i", v[k].alias("v")))
+            product = M.spmv(a, newest, rows).withColumnRenamed("v", "w")
+            dots = {f"h{j}": v[j] * w for j in range(k + 1 if options.ortho == "CGS2" else 1)}
+            table, s = _sums(steps, "state", table.join(product, "i"), **dots)
             if options.ortho == "CGS2":
-                rounds = [every, every]
-            elif options.ortho == "MGS":
-                rounds = basis
+                h[: k + 1, k] = [s[f"h{j}"] for j in range(k + 1)]
+                rest = w - sum((F.lit(float(h[j, k])) * v[j] for j in range(k + 1)), F.lit(0.0))
+                again = table.agg(*(F.sum(v[j] * rest) for j in range(k + 1)), F.sum(rest * rest)).first()
+                h[: k + 1, k] += again[: k + 1]
+                short = again[k + 1] - sum(x * x for x in again[: k + 1])
             else:
-                raise ValueError(f"ortho {options.ortho!r}")
-            for group in rounds:
-                dots = group.join(w.select("i", F.col("v").alias("w")), "i").groupBy("k").agg(F.sum(F.col("v") * F.col("w")).alias("h")).collect()
-                for d in dots:
-                    h[d["k"], k] += d["h"]
-                coefficient = F.create_map(*(c for d in dots for c in (F.lit(d["k"]), F.lit(d["h"]))))
-                taken = group.select("i", (-F.col("v") * F.try_element_at(coefficient, F.col("k"))).alias("v"))
-                w = steps.keep("w", w.unionByName(taken).groupBy("i").agg(F.sum("v").alias("v")))
-            h[k + 1, k] = _norm(w)
+                h[0, k], rest = s["h0"], w
+                for j in range(k + 1):
+                    rest = rest - F.lit(float(h[j, k])) * v[j]
+                    following, short = table.agg(F.sum(rest * (v[j + 1] if j < k else F.lit(0.0))), F.sum(rest * rest)).first()
+                    if j < k:
+                        h[j + 1, k] = following
+            h[k + 1, k] = np.sqrt(max(0.0, short))
             total, done = total + 1, k + 1
             e = np.zeros(done + 1)
             e[0] = beta
             y = np.linalg.lstsq(h[: done + 1, :done], e, rcond=None)[0]
-            short = np.linalg.norm(e - h[: done + 1, :done] @ y) / size
-            if not np.isfinite(short):
+            near = np.linalg.norm(e - h[: done + 1, :done] @ y) / size
+            if not np.isfinite(near):
                 raise ArithmeticError("GMRES met a value that is not a number")
-            if short < options.tolerance or h[k + 1, k] <= 1e-14:
+            if near < options.tolerance or h[k + 1, k] <= 1e-14:
                 break
-            basis.append(steps.keep(f"v{k + 1}", w.select("i", (F.col("v") / h[k + 1, k]).alias("v"), F.lit(k + 1).alias("k"))))
-        step = None
-        for k in range(done):
-            part = basis[k].select("i", (F.col("v") * float(y[k])).alias("v"))
-            step = part if step is None else step.unionByName(part)
-        x = steps.keep("x", _plus(x, 1.0, precond.apply(step.groupBy("i").agg(F.sum("v").alias("v")))))
-        true = _norm(_plus(b, -1.0, M.spmv(a, x, rows))) / size
+            orthogonal = w - sum((F.lit(float(h[j, k])) * v[j] for j in range(k + 1)), F.lit(0.0))
+            table = table.select("i", "v", "x", F.concat(v, F.array(orthogonal / float(h[k + 1, k]))).alias("basis"))
+        step = precond.apply(table.select("i", sum((F.lit(float(y[j])) * v[j] for j in range(done)), F.lit(0.0)).alias("v")))
+        table = steps.keep("moved", table.select("i", "v", "x").join(step.select("i", F.col("v").alias("step")), "i").select("i", "v", (F.col("x") + F.col("step")).alias("x")))
+        ax = M.spmv(a, table.select("i", F.col("x").alias("v")), rows).withColumnRenamed("v", "ax")
+        table, s = _sums(steps, "state", table.join(ax, "i").select("i", "v", "x", (F.col("v") - F.col("ax")).alias("r")), rr=F.col("r") * F.col("r"))
+        beta = np.sqrt(s["rr"])
+        true = beta / size
         if true < options.tolerance:
             flag = "Conv"
             break
-        if short < options.tolerance:
+        if near < options.tolerance:
             flag = "LOA"  # the recurrence says it is there, the residual does not
-    return SolveResult(x, total, true, flag)
+    return SolveResult(table.select("i", F.col("x").alias("v")), total, true, flag)
 
 
 # Smoothers
@@ -239,6 +269,22 @@ def block_gauss_seidel(a: DataFrame, b: DataFrame, x: DataFrame, size: int, colo
     return x
 
 
+def sor_in_order(a: DataFrame, b: DataFrame, places: DataFrame, omega: float = 1.0, sweeps: int = 1) -> DataFrame:
+    """Row by row, in the order of places (i, place), from zero: what the others are compared with. Rows follow each other, so one task has the system."""
+    rows = a.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("row")).join(b.withColumnRenamed("v", "b"), "i").join(places, "i")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(place=[tuple(p.values()) if isinstance(p, dict) else p for p in pdf["place"]]).sort_values("place")
+        x = dict.fromkeys(pdf["i"], 0.0)
+        own = [(i, right, [(e["j"], e["v"]) for e in row]) for i, right, row in zip(pdf["i"], pdf["b"], pdf["row"])]
+        for _ in range(sweeps):
+            for i, right, row in own:
+                x[i] += omega * (right - sum(v * x[j] for j, v in row)) / dict(row)[i]
+        return pd.DataFrame({"i": list(x), "v": list(x.values())})
+
+    return rows.groupBy().applyInPandas(run, "i long, v double")
+
+
 def sor_sequential(a: np.ndarray, b: np.ndarray, x: np.ndarray, omega: float = 1.0, direction: str = "F") -> np.ndarray:
     """Row by row on one dense matrix and its right sides (columns): what the others are compared with."""
     x = x.astype(float).copy()

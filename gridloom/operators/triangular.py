@@ -7,6 +7,8 @@ sweeps as there are levels of dependence they are the exact ones on their patter
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +21,9 @@ from . import matrices as M
 def _oriented(a: DataFrame, uplo: str, trans: str) -> tuple[DataFrame, str]:
     if uplo not in ("L", "U"):
         raise ValueError(f"uplo {uplo!r}")
-    flip = trans.upper() in "TH"
+    if trans.upper() not in ("N", "T", "H"):
+        raise ValueError(f"trans {trans!r}")
+    flip = trans.upper() != "N"
     return (M.transpose(a) if flip else a), ({"L": "U", "U": "L"}[uplo] if flip else uplo)
 
 
@@ -151,32 +155,41 @@ def _mdf(pdf: pd.DataFrame) -> pd.DataFrame:
     rows: list[dict] = [{} for _ in range(n)]
     for i, j, v in zip(pdf["i"], pdf["j"], pdf["v"]):
         rows[i][j] = v
+    holds: list[set] = [set() for _ in range(n)]  # rows with an entry in the column
+    for i, r in enumerate(rows):
+        for j in r:
+            holds[j].add(i)
     left, order, out = set(range(n)), [], []
 
     def cost(p):
         d = rows[p].get(p, 0.0)
-        below = [q for q in left if q != p and p in rows[q]]
+        below = [q for q in holds[p] if q != p and q in left]
         right = [c for c in rows[p] if c != p and c in left]
         lost = [(rows[q][p] * rows[p][c] / d) ** 2 for q in below for c in right if c not in rows[q]] if d else []
         return (np.inf if not d else sum(lost), len(lost), len(below) + len(right), p)
 
     costs = {p: cost(p) for p in left}
+    queue = list(costs.values())
+    heapify(queue)
     while left:
-        p = min(costs.values())[3]
+        p = heappop(queue)
+        if costs.get(p[3]) != p:
+            continue  # its cost has changed since
+        p = p[3]
         left.discard(p)
         del costs[p]
         d, near = rows[p].get(p, 0.0), set()
-        for q in list(left):
-            if p in rows[q]:
-                near.add(q)
-                rows[q][p] /= d if d else 1.0
-                for c, v in rows[p].items():
-                    if c in left and c in rows[q]:
-                        rows[q][c] -= rows[q][p] * v
+        for q in holds[p] & left:
+            near.add(q)
+            rows[q][p] /= d if d else 1.0
+            for c, v in rows[p].items():
+                if c in left and c in rows[q]:
+                    rows[q][c] -= rows[q][p] * v
         near |= {c for c in rows[p] if c in left}
         order.append(p)
         for q in near:
             costs[q] = cost(q)
+            heappush(queue, costs[q])
     place = {p: k for k, p in enumerate(order)}
     for i, r in enumerate(rows):
         out += [(i, j, v, place[i], place[j]) for j, v in r.items()]

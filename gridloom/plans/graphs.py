@@ -38,7 +38,8 @@ def _(in_):
 
 @query("G03_color_bipartite", NONE)
 def _(in_):
-    e = in_("SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_regionkey AS BIGINT) AS j FROM nation")
+    """Orders of one customer get different colours."""
+    e = in_("SELECT o_orderkey AS i, o_custkey AS j FROM orders")
     same = e.alias("a").join(e.alias("b"), F.expr("a.j = b.j and a.i <> b.i")).select(F.expr("a.i as src"), F.expr("b.i as dst"))
     return G.conflicts(same, G.color_rows(e))
 

@@ -29,8 +29,8 @@ INPUTS = {
     # nations x segments, small and square matrices
     "D": "SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(c_custkey % 25 AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM customer GROUP BY c_nationkey, c_custkey % 25",
     "EDGES": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey",
-    # a smaller graph: nations whose customers' orders share a day
-    "G": "SELECT DISTINCT s.s_suppkey AS src, t.s_suppkey AS dst FROM supplier s JOIN supplier t ON s.s_nationkey = t.s_nationkey AND s.s_suppkey <> t.s_suppkey AND (s.s_suppkey + t.s_suppkey) % 3 <> 0",
+    # a sparser graph: suppliers of one nation, and those whose keys follow each other
+    "G": "SELECT s.s_suppkey AS src, t.s_suppkey AS dst FROM supplier s JOIN supplier t ON s.s_nationkey = t.s_nationkey AND s.s_suppkey <> t.s_suppkey UNION SELECT s.s_suppkey, t.s_suppkey FROM supplier s JOIN supplier t ON t.s_suppkey = s.s_suppkey + 1 UNION SELECT t.s_suppkey, s.s_suppkey FROM supplier s JOIN supplier t ON t.s_suppkey = s.s_suppkey + 1",
 }
 
 

@@ -3,7 +3,6 @@
 Solutions are checked by their product with the matrix, factors by their product on the pattern.
 """
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import batched as B
@@ -12,29 +11,41 @@ from ..operators import krylov as K
 from ..operators import matrices as M
 from ..operators import triangular as T
 from ..sources import generators as R
+from ..store import Steps
 from .registry import query
 
-#: An 8 x 8 grid's matrix: diagonal 10, off it -1. Parts 0 to 63 only name its rows.
-POINTS = "SELECT p_partkey AS i, p_partkey % 8 AS x, CAST(floor(p_partkey / 8) AS BIGINT) AS y FROM part WHERE p_partkey < 64"
-GRID = f"SELECT p.i, q.i AS j, CAST(CASE WHEN p.i = q.i THEN 10 ELSE -1 END AS DOUBLE) AS v FROM ({POINTS}) p JOIN ({POINTS}) q ON abs(p.x - q.x) + abs(p.y - q.y) <= 1"
+#: All parts on a square grid, as wide as their number needs, and the grid's matrix: diagonal 10, off it -1.
+SIDE = "SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM part"
+POINTS = f"SELECT p_partkey AS i, p_partkey % side AS x, CAST(floor(p_partkey / side) AS BIGINT) AS y FROM part, ({SIDE}) n"
+_NEAR = " UNION ALL ".join(f"SELECT i, x + {dx} AS u, y + {dy} AS w FROM ({POINTS}) p{k}" for k, (dx, dy) in enumerate([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]))
+GRID = f"SELECT p.i, q.i AS j, CAST(CASE WHEN p.i = q.i THEN 10 ELSE -1 END AS DOUBLE) AS v FROM ({_NEAR}) p JOIN ({POINTS}) q ON q.x = p.u AND q.y = p.w"
 RIGHT = f"SELECT i, CAST(1 + i % 7 AS DOUBLE) AS v FROM ({POINTS})"
 ROWS = f"SELECT i FROM ({POINTS})"
 #: Unit lower triangular: each part with those 500 and 700 before it.
 LOW = "SELECT i, j, v FROM (SELECT p_partkey AS i, p_partkey AS j, CAST(1 AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, p_partkey - 500, CAST(2 AS DOUBLE) FROM part WHERE p_partkey >= 500 UNION ALL SELECT p_partkey, p_partkey - 700, CAST(3 AS DOUBLE) FROM part WHERE p_partkey >= 700)"
 
 
+def kept(in_, text):
+    """The input as a written table: solvers read theirs many times, and the grid's SQL has many scans."""
+    return Steps(in_.spark, "input").keep("table", in_(text))
+
+
 def rounded(df, digits=4):
     return df.select("i", (F.round("v", digits) + 0.0).alias("v"))
 
 
 def back(in_, x, a=GRID, digits=4):
     """a x, which should be the right side."""
-    return rounded(M.spmv(in_(a), x, in_(ROWS)), digits)
+    return rounded(M.spmv(kept(in_, a), x, kept(in_, ROWS)), digits)
 
 
-@query("S04_spmv_struct", f"SELECT a.i, sum(a.v * x.v) AS v FROM (SELECT p.i, q.i AS j, CASE WHEN p.i = q.i THEN 4 ELSE -1 END AS v FROM ({POINTS}) p JOIN ({POINTS}) q ON abs(p.x - q.x) + abs(p.y - q.y) <= 1) a JOIN ({RIGHT}) x ON x.i = a.j GROUP BY a.i")
+@query("S04_spmv_struct", f"SELECT a.i, sum(a.v * x.v) AS v FROM (SELECT i, j, CASE WHEN i = j THEN 4 ELSE -1 END AS v FROM ({GRID})) a JOIN ({RIGHT}) x ON x.i = a.j GROUP BY a.i")
 def _(in_):
-    return M.spmv(R.grid_matrix(in_.spark, 8, 8, bounded=False), in_(RIGHT), 64)
+    """The grid's matrix by rule, on as many points as there are parts: the last line of a square may be short."""
+    right = kept(in_, RIGHT)
+    n, side = right.count(), in_(SIDE).first()["side"]
+    a = R.grid_matrix(in_.spark, side, side, bounded=False).where((F.col("i") < n) & (F.col("j") < n))
+    return M.spmv(a, right, n)
 
 
 @query("S14_trsv", "SELECT i, v FROM {X}")
@@ -75,13 +86,13 @@ _FILL = f"WITH a AS ({GRID}) SELECT i, j, min(level) AS level FROM (SELECT i, j,
 
 @query("S18_iluk_symbolic", _FILL)
 def _(in_):
-    return T.fill_levels(in_(GRID), 1)
+    return T.fill_levels(kept(in_, GRID), 1)
 
 
 @query("S19_iluk_numeric", f"SELECT f.i, f.j, coalesce(a.v, 0) AS v FROM ({_FILL}) f LEFT JOIN ({GRID}) a ON a.i = f.i AND a.j = f.j")
 def _(in_):
-    low, up = T.ilu(in_(GRID), 1)
-    ones = in_(ROWS).select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+    low, up = T.ilu(kept(in_, GRID), 1)
+    ones = kept(in_, ROWS).select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
     pattern = low.select("i", "j").unionByName(up.select("i", "j"))
     got = M.spgemm(low.unionByName(ones), up).join(pattern, ["i", "j"])
     return got.select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
@@ -90,8 +101,8 @@ def _(in_):
 @query("S20_par_ilut", "SELECT TRUE AS better, TRUE AS unit_free")
 def _(in_):
     """The residual falls below that of the plain triangles, and no diagonal is lost."""
-    low, up, norms = T.par_ilut(in_(GRID), in_(ROWS), most=3)
-    return up.where("i = j").agg((F.count("*") == 64).alias("unit_free")).select(F.lit(bool(norms[-1] < norms[0])).alias("better"), "unit_free")
+    low, up, norms = T.par_ilut(kept(in_, GRID), kept(in_, ROWS), most=3)
+    return up.where("i = j").agg((F.count("*") == kept(in_, ROWS).count()).alias("unit_free")).select(F.lit(bool(norms[-1] < norms[0])).alias("better"), "unit_free")
 
 
 SYSTEMS = f"SELECT CAST(r_regionkey AS BIGINT) AS b, i, j, CASE WHEN i = j THEN v + r_regionkey ELSE v END AS v FROM region, ({GRID})"
@@ -100,12 +111,12 @@ SYSTEMS = f"SELECT CAST(r_regionkey AS BIGINT) AS b, i, j, CASE WHEN i = j THEN
 @query("S21_mdf", SYSTEMS)
 def _(in_):
     """Factors in the new order: their product is the matrix, on its pattern; the order is a permutation."""
-    f = T.mdf(in_(SYSTEMS))
+    f = T.mdf(kept(in_, SYSTEMS))
     low = f.where("pi > pj").select("b", "i", F.col("pj").alias("k"), F.col("v").alias("x"))
     ones = f.where("pi = pj").select("b", "i", F.col("pi").alias("k"), F.lit(1.0).alias("x"))
     up = f.where("pi <= pj").select("b", F.col("pi").alias("k"), "j", F.col("v").alias("y"))
     product = low.unionByName(ones).join(up, ["b", "k"]).groupBy("b", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    whole = f.groupBy("b").agg(F.countDistinct("pi").alias("n")).where("n = 64").select("b")
+    whole = f.groupBy("b").agg(F.countDistinct("pi").alias("n")).join(in_("SELECT count(*) AS parts FROM part")).where("n = parts").select("b")
     return product.join(f.select("b", "i", "j"), ["b", "i", "j"]).join(whole, "b").select("b", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
@@ -114,14 +125,14 @@ SKEW = f"SELECT i, j, CASE WHEN i = j THEN 4 * v WHEN i < j THEN 2 * v ELSE v EN
 
 @query("S22_gmres", RIGHT)
 def _(in_):
-    r = K.gmres(in_(SKEW), in_(RIGHT), options=K.GmresOptions(restart=8, tolerance=1e-6))
+    r = K.gmres(kept(in_, SKEW), kept(in_, RIGHT), options=K.GmresOptions(restart=8, tolerance=1e-6))
     assert r.flag == "Conv"
     return back(in_, r.x, SKEW, 3)
 
 
 @query("S23_preconditioners", RIGHT)
 def _(in_):
-    r = K.gmres(in_(SKEW), in_(RIGHT), K.Jacobi(in_(SKEW)), K.GmresOptions(restart=8, tolerance=1e-6, ortho="MGS"))
+    r = K.gmres(kept(in_, SKEW), kept(in_, RIGHT), K.Jacobi(kept(in_, SKEW)), K.GmresOptions(restart=8, tolerance=1e-6, ortho="MGS"))
     assert r.flag == "Conv"
     return back(in_, r.x, SKEW, 3)
 
@@ -135,9 +146,8 @@ def _(in_):
 
 @query("S24_smoother_setup", "SELECT CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS uncolored")
 def _(in_):
-    e = in_(f"SELECT i AS src, j AS dst FROM ({GRID}) WHERE i <> j AND i < 24 AND j < 24")
-    v = in_(f"SELECT i FROM ({ROWS}) WHERE i < 24")
-    return G.conflicts(e, G.color(e, v))
+    e = in_(f"SELECT i AS src, j AS dst FROM ({GRID}) WHERE i <> j")
+    return G.conflicts(e, G.color(e, kept(in_, ROWS)))
 
 
 RED_BLACK = f"SELECT i, (x + y) % 2 AS color FROM ({POINTS})"
@@ -145,15 +155,15 @@ RED_BLACK = f"SELECT i, (x + y) % 2 AS color FROM ({POINTS})"
 
 @query("S25_gauss_seidel", RIGHT)
 def _(in_):
-    zero = in_(RIGHT).withColumn("v", F.lit(0.0))
-    return back(in_, K.gauss_seidel(in_(GRID), in_(RIGHT), zero, in_(RED_BLACK), "symmetric", 1.0, 4), digits=2)
+    zero = kept(in_, RIGHT).withColumn("v", F.lit(0.0))
+    return back(in_, K.gauss_seidel(kept(in_, GRID), kept(in_, RIGHT), zero, kept(in_, RED_BLACK), "symmetric", 1.0, 4), digits=2)
 
 
 @query("S26_block_gauss_seidel", RIGHT)
 def _(in_):
-    zero = in_(RIGHT).withColumn("v", F.lit(0.0))
+    zero = kept(in_, RIGHT).withColumn("v", F.lit(0.0))
     colors = in_(f"SELECT DISTINCT CAST(floor(i / 2) AS BIGINT) AS i, (CAST(floor(x / 2) AS BIGINT) + y) % 2 AS color FROM ({POINTS})")
-    return back(in_, K.block_gauss_seidel(in_(GRID), in_(RIGHT), zero, 2, colors, sweeps=4), digits=2)
+    return back(in_, K.block_gauss_seidel(kept(in_, GRID), kept(in_, RIGHT), zero, 2, colors, sweeps=4), digits=2)
 
 
 DYADIC = f"SELECT i, j, CASE WHEN i = j THEN CAST(8 AS DOUBLE) ELSE v END AS v FROM ({GRID})"
@@ -163,41 +173,31 @@ _X1 = f"SELECT i, v / 16 AS v FROM ({RIGHT})"
 @query("S27_jacobi", f"WITH a AS ({DYADIC}), b AS ({RIGHT}), x AS ({_X1}) SELECT x.i, x.v + (b.v - s.v) / 16 AS v FROM x JOIN b ON b.i = x.i JOIN (SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON x.i = a.j GROUP BY a.i) s ON s.i = x.i")
 def _(in_):
     """Two damped sweeps from zero; every value is a dyadic fraction."""
-    zero = in_(RIGHT).withColumn("v", F.lit(0.0))
-    return K.jacobi(in_(DYADIC), in_(RIGHT), zero, 0.5, 2)
+    zero = kept(in_, RIGHT).withColumn("v", F.lit(0.0))
+    return K.jacobi(kept(in_, DYADIC), kept(in_, RIGHT), zero, 0.5, 2)
 
 
 @query("S27_two_stage", RIGHT)
 def _(in_):
-    zero = in_(RIGHT).withColumn("v", F.lit(0.0))
+    zero = kept(in_, RIGHT).withColumn("v", F.lit(0.0))
     x = zero
     for _ in range(3):  # a table a sweep keeps the plan short
-        x = K.Steps(in_.spark, "two-stage").keep("x", K.two_stage(in_(GRID), in_(RIGHT), x, 1, 2, direction="symmetric"))
+        x = K.Steps(in_.spark, "two-stage").keep("x", K.two_stage(kept(in_, GRID), kept(in_, RIGHT), x, 1, 2, direction="symmetric"))
     return back(in_, x, digits=1)
 
 
 @query("S28_sor", f"SELECT i, CAST(0 AS DOUBLE) AS v FROM ({ROWS})")
 def _(in_):
     """The coloured sweep against the row-by-row one in the colours' order."""
-    zero = in_(RIGHT).withColumn("v", F.lit(0.0))
-    x = K.gauss_seidel(in_(GRID), in_(RIGHT), zero, in_(RED_BLACK), "forward", 1.2, 2)
-    order = [r["i"] for r in in_(RED_BLACK).orderBy("color", "i").collect()]
-    place = {p: k for k, p in enumerate(order)}
-    a, b = np.zeros((64, 64)), np.zeros((64, 1))
-    for r in in_(GRID).collect():
-        a[place[r["i"]], place[r["j"]]] = r["v"]
-    for r in in_(RIGHT).collect():
-        b[place[r["i"]], 0] = r["v"]
-    y = np.zeros((64, 1))
-    for _ in range(2):
-        y = K.sor_sequential(a, b, y, 1.2)
-    other = in_.spark.createDataFrame([(int(p), float(y[k, 0])) for k, p in enumerate(order)], "i long, w double")
-    return x.join(other, "i").select("i", F.round(F.abs(F.col("v") - F.col("w")), 9).alias("v"))
+    zero = kept(in_, RIGHT).withColumn("v", F.lit(0.0))
+    x = K.gauss_seidel(kept(in_, GRID), kept(in_, RIGHT), zero, kept(in_, RED_BLACK), "forward", 1.2, 2)
+    y = K.sor_in_order(kept(in_, GRID), kept(in_, RIGHT), kept(in_, RED_BLACK).select("i", F.struct("color", "i").alias("place")), 1.2, 2)
+    return x.join(y.withColumnRenamed("v", "w"), "i").select("i", F.round(F.abs(F.col("v") - F.col("w")), 9).alias("v"))
 
 
 @query("S29_pcg", RIGHT)
 def _(in_):
-    r = K.pcg(in_(GRID), in_(RIGHT), K.Jacobi(in_(GRID)), 1e-6)
+    r = K.pcg(kept(in_, GRID), kept(in_, RIGHT), K.Jacobi(kept(in_, GRID)), 1e-6)
     assert r.flag == "Conv"
     return back(in_, r.x, digits=3)
 
