@@ -4,7 +4,7 @@ Base spans of four kinds are found by regular expressions. They are the seeds: t
 them are lexical patterns (two words before, two after, one on each side). A pattern's confidence
 is the share of seeds among the different identifier-like strings seen in it; an instance's is one
 less the product of its patterns' doubts. Strings found with confidence are seeds of the next
-round, up to a set number of rounds. What the last patterns find are spans of kind `context`.
+round, until a round finds nothing new. What the last patterns find are spans of kind `context`.
 
 Regular expressions here have no repeated groups (on Java each repetition of a group costs stack,
 and a long text would overflow it) and look back to a run's first character, so that a text is read
@@ -20,6 +20,7 @@ doc_id are told apart by their texts; an empty table gives no rows; other column
 from __future__ import annotations
 
 import re
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +33,9 @@ EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9 -]{11,}"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-LIKE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{8,64}+(?![A-Za-z0-9_-])"
+LIKE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{8,}+"
 MIN_DIGITS = 4  # of an identifier-like string
-CONTEXT = 60  # characters on each side in which its words are sought
+CONTEXT = (60, 2000, 1 << 30)  # characters on each side in which its two words are sought, one after the other
 
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
@@ -78,12 +79,24 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_sort(F.concat(_spans("m_email", "g_email", 0, "true"), _spans("m_ip", "g_ip", 1, small), _spans("m_card", "g_card", 2, f"length({d}) between 12 and 19 and {_LUHN.format(d=d)}"), _spans("m_phone", "g_phone", 3, f"length({d}) between 9 and 15"))).alias("base"),
         _spans("m_like", "g_like", 4, f"length({d}) >= {MIN_DIGITS}").alias("like"),
     )
-    before = f"filter(split(lower(substr(t, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))), '\\\\s+'), w -> w <> '')"
-    after = f"filter(split(lower(substr(t, x.e + 1, {CONTEXT})), '\\\\s+'), w -> w <> '')"
+    before, after = _around(CONTEXT)
     seen = F.expr(f"transform(concat(base, like), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'value', substr(t, x.s + 1, x.e - x.s), 'l', {before}, 'r', {after}))")
     return t.select("doc_id", "h", "base", seen.alias("seen"))
 
 
+def _around(sizes: tuple[int, ...]) -> tuple[str, str]:
+    """SQL for the last two words before x and the first two after it. A part of the text will do if it has three (the outermost may be cut) or reaches the text's end."""
+    n, more = sizes[0], sizes[1:]
+    left = f"filter(split(lower(substr(t, greatest(x.s - {n}, 0) + 1, least(x.s, {n}))), '\\\\s+'), w -> w <> '')"
+    right = f"filter(split(lower(substr(t, x.e + 1, {n})), '\\\\s+'), w -> w <> '')"
+    last, first = f"slice({left}, -least(2, size({left})), 2)", f"slice({right}, 1, 2)"
+    last = f"if(size({left}) = 0, {left}, {last})"
+    if not more:
+        return last, first
+    further = _around(more)
+    return f"if(x.s <= {n} or size({left}) > 2, {last}, {further[0]})", f"if(length(t) - x.e <= {n} or size({right}) > 2, {first}, {further[1]})"
+
+
 def _patterns() -> Column:
     """The lexical patterns of l and r, the words before and after: null where a text ends first."""
     return F.expr(
@@ -93,7 +106,7 @@ def _patterns() -> Column:
     )
 
 
-def bootstrap(seen: DataFrame, work: WorkTables, rounds: int = 2, min_seeds: int = 2, min_confidence: float = 0.8) -> DataFrame:
+def bootstrap(seen: DataFrame, work: WorkTables, rounds: int | None = None, min_seeds: int = 2, min_confidence: float = 0.8) -> DataFrame:
     """Values (of kind `context`) found by patterns that enough different seeds induce: value, with its place doc_id, h, s, e.
 
     seen: doc_id, h, s, k, e, value, l, r. The graph's edges are the different (pattern, value) pairs, so
@@ -103,7 +116,8 @@ def bootstrap(seen: DataFrame, work: WorkTables, rounds: int = 2, min_seeds: int
     placed = seen.select("doc_id", "h", "s", "e", "value", F.expr(known).alias("seed"), F.explode(_patterns()).alias("pattern"))
     edges = work.save(placed.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
     found = None
-    for at in range(rounds):
+    for at in count():
+        before = found
         now = edges if found is None else edges.join(found.withColumn("more", F.lit(True)), "value", "left").select("pattern", "value", F.expr("seed or coalesce(more, false)").alias("seed"))
         scores = now.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n"))
         # Laplace's rule keeps a pattern with few seeds from certainty.
@@ -112,6 +126,8 @@ def bootstrap(seen: DataFrame, work: WorkTables, rounds: int = 2, min_seeds: int
         doubts = edges.where("not seed").join(scores, "pattern").groupBy("value").agg(F.sum(F.log(1 - F.col("confidence"))).alias("doubt"))
         sure = doubts.where(1 - F.exp("doubt") >= min_confidence).select("value")
         found = work.save(sure if found is None else sure.union(found).distinct(), f"found-{at}")
+        if at + 1 == rounds or found.count() == (before.count() if before is not None else 0):
+            break  # as many as the round before: nothing new, as none is ever lost
     new = placed.where("not seed").select("doc_id", "h", "s", "e", "value").distinct().join(found, "value")
     return new.select("doc_id", "h", "s", "e")
 
@@ -125,11 +141,11 @@ def _clear(seen: DataFrame) -> DataFrame:
     return rows.where("k < 4 or ((ended is null or ended <= s) and (begins is null or begins >= e))").drop("ended", "begins")
 
 
-def personal_data(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, h, base (spans of the four kinds) and added (those found by context), for every document."""
     work = WorkTables(docs.sparkSession, "pii")
     scanned = work.save(scan(docs), "scanned")
-    seen = scanned.select("doc_id", "h", F.explode("seen").alias("x")).select("doc_id", "h", "x.*")
+    seen = scanned.select("doc_id", "h", F.explode("seen").alias("x")).select("doc_id", "h", "x.*").dropDuplicates(["doc_id", "h", "s", "k"])  # repeated rows count once
     new = bootstrap(work.save(_clear(seen), "seen"), work, rounds)
     added = new.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.expr("named_struct('s', s, 'k', 4, 'e', e)"))).alias("added"))
     out = scanned.select("doc_id", "h", "base").alias("d").join(added.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.h = f.h"), "left")
@@ -155,7 +171,7 @@ def redacted(text: str, spans: str) -> Column:
     return F.expr(f"if(size({spans}) = 0, {text}, aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> {step}, a -> concat(array_join(a.out, ''), substr({text}, a.at + 1))))")
 
 
-def without_personal_data(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def without_personal_data(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """All documents with their spans redacted and n_chars (if they have it) counted anew, all other columns as they were."""
     found = personal_data(docs, rounds).where("size(base) + size(added) > 0").select("doc_id", "h", F.array_sort(F.concat("base", "added")).alias("spans")).distinct()
     rows = docs.select(*(F.col(f"`{c}`").alias(f"d{k}") for k, c in enumerate(docs.columns)), F.xxhash64("text").alias("__h"))
