@@ -7,6 +7,7 @@ filter lets possible hits pass (none of the listed is lost); the join drops its
 The filter has about 16 bits a key up to a set size; beyond it passes more, and the join drops more.
 
 Defined results: null urls, and urls without `://`, have an empty host and path and fit no rule;
+of rules with one host and path the largest verdict counts (block before allow), whatever their order;
 repeated rows each get a row; an empty table or an empty list is fine; other columns are not read.
 """
 
@@ -66,7 +67,8 @@ def bloom_filter(keys: DataFrame, n: int) -> np.ndarray:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """pages (page_id, url), rules (host, path, verdict) -> page_id, host, path, rule, verdict. The longest fitting rule wins."""
     spark = pages.sparkSession
-    listed = rules.select(F.concat("host", "path").alias("key"), "host", "path", "verdict").dropDuplicates(["key"])
+    listed = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(F.concat("host", "path").alias("key"), "host", "path", "verdict")
+    listed = listed.groupBy("key").agg(F.max("host").alias("host"), F.min("path").alias("path"), F.max("verdict").alias("verdict"))
     shape = listed.agg(F.count("*").alias("n"), F.max(F.size(F.split("host", "\\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -79,13 +81,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         block, mask = _bits(h.to_numpy(), len(filled.value))
         return pd.Series(((filled.value[block] & mask) == mask).all(axis=1))
 
-    keys = [
-        F.when((F.size(F.split("host", "\\.")) >= k) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n)))
-        for k in range(1, shape["labels"] + 1)
-        for n in sorted(shape["lengths"])
-    ]
+    # The lengths are data, so the plan does not grow with the list.
+    lengths = ", ".join(map(str, sorted(shape["lengths"])))
+    ends = f"transform(sequence(1, least({shape['labels']}, size(split(host, '[.]')))), k -> substring_index(host, '.', -k))"
+    starts = f"transform(filter(array({lengths}), n -> n <= length(path)), n -> substring(path, 1, n))"
+    keys = F.expr(f"flatten(transform({ends}, e -> transform({starts}, s -> concat(e, s))))")
     # A URL's rule depends on its host and path alone: each is looked up once.
-    asked = urls.select("host", "path").distinct().where("host <> ''").select("host", "path", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    asked = urls.select("host", "path").distinct().where("host <> ''").select("host", "path", F.explode(keys).alias("key"))
     asked = asked.where(maybe(F.xxhash64("key")))
     exact = listed.select("key", "verdict")
     hits = asked.join(F.broadcast(exact) if shape["n"] <= BROADCAST_ROWS else exact, "key")
