@@ -17,9 +17,9 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def names(raw: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """For each length, the name of the substring of that many bytes from each position on. Offsets double: 1, 2, 4, ..."""
-    levels, size = [pair(raw.astype(np.uint64), np.full(len(raw), 0x51, np.uint64))], 1
+def names(raw: np.ndarray, *lengths: int, seed: int = 0x51) -> list[np.ndarray]:
+    """For each length, the name of the substring of that many bytes from each position on. Offsets double: 1, 2, 4, ... Names of another seed are others."""
+    levels, size = [pair(raw.astype(np.uint64), np.full(len(raw), seed, np.uint64))], 1
     while 2 * size <= max(lengths):
         last = levels[-1]
         levels.append(pair(last[: max(0, len(last) - size)], last[size:]))

@@ -14,8 +14,8 @@ past the threshold:
 
 All comparisons are sums by key before the shuffle, or equi-joins whose hot keys AQE splits; the
 rows that any step moves are in proportion to the bytes, and no group is gathered in one task.
-Names have 64 bits; a run needs two equal ones, so a chance collision is out of reach there, and in
-step 4 it is below one in a hundred million windows squared over 2^64.
+Names have 64 bits; what is called equal has two equal ones (a run its mark and its name, a window two
+names of its own), so a chance collision is out of reach.
 
 Defined results: null and empty texts have no bytes; texts shorter than the threshold keep all;
 repeated rows are repeated texts, and rows that share a doc_id are told apart by their texts; an
@@ -97,14 +97,15 @@ def runs(texts: list[bytes], threshold: int) -> Iterator[tuple[np.ndarray, ...]]
 
 
 def named_windows(texts: list[bytes], spans: list[list[dict]], threshold: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, window, name, asked) for the windows of the spans (lo, n, asked) of each text."""
+    """(text, window, name, another name, asked) for the windows of the spans (lo, n, asked) of each text."""
     raw, size, rows = [], 0, []
 
     def flush():
-        name = names(np.frombuffer(b"".join(raw), np.uint8), threshold)[0].view(np.int64)
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        name, other = (names(joined, threshold, seed=seed)[0].view(np.int64) for seed in (0x51, 0xB7))
         k, lo, at, n, asked = (np.array(c) for c in zip(*rows))
         shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(k, n), np.repeat(lo, n) + shift, name[np.repeat(at, n) + shift], np.repeat(asked, n)
+        return np.repeat(k, n), np.repeat(lo, n) + shift, name[np.repeat(at, n) + shift], other[np.repeat(at, n) + shift], np.repeat(asked, n)
 
     for k, (text, own) in enumerate(zip(texts, spans)):
         for s in own:
@@ -132,15 +133,15 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def repeated(docs: DataFrame, work: WorkTables, threshold: int) -> DataFrame:
-    """k, lo, n: the windows lo to lo + n - 1 of the text with key k are repeated. docs: k, text."""
+    """k, d, lo, n: the windows lo to lo + n - 1 of the text with the keys k and d are repeated. docs: k, d, text."""
 
     def all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column(0).to_numpy()
-            for of, lo, n, mark, name, several in runs(_bytes(b.column(1)), threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(lo), pa.array(n.astype(np.int16)), pa.array(mark), pa.array(name), pa.array(several)], names=["k", "lo", "n", "mark", "name", "several"])
+            key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for of, lo, n, mark, name, several in runs(_bytes(b.column(2)), threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(doc[of]), pa.array(lo), pa.array(n.astype(np.int16)), pa.array(mark), pa.array(name), pa.array(several)], names=["k", "d", "lo", "n", "mark", "name", "several"])
 
-    every = work.save(docs.mapInArrow(all_runs, "k long, lo long, n short, mark long, name long, several boolean"), "runs")
+    every = work.save(docs.mapInArrow(all_runs, "k long, d long, lo long, n short, mark long, name long, several boolean"), "runs")
     shared = every.groupBy("mark").agg(F.count("*").alias("c"), F.max("several").alias("s")).where("c > 1 or s").select("mark")
     rest = work.save(every.join(work.save(shared, "marks"), "mark"), "rest")
     work.drop("runs")
@@ -152,29 +153,30 @@ def repeated(docs: DataFrame, work: WorkTables, threshold: int) -> DataFrame:
     placed = work.save(rest.join(work.save(kinds.where("whole or look"), "kinds"), ["mark", "name"]), "placed")
     for part in ("rest", "equal", "shared", "kinds"):
         work.drop(part)
-    examples = placed.where("example").groupBy("mark", "name").agg(F.min(F.struct("k", "lo", "n")).alias("x")).selectExpr("x.k", "x.lo", "x.n", "false as asked")
-    looks = placed.where("look").selectExpr("k", "lo", "n", "true as asked").unionByName(examples)
-    looks = work.save(looks.groupBy("k").agg(F.collect_list(F.struct("lo", "n", "asked")).alias("spans")), "looks")
+    examples = placed.where("example").groupBy("mark", "name").agg(F.min(F.struct("k", "d", "lo", "n")).alias("x")).selectExpr("x.k", "x.d", "x.lo", "x.n", "false as asked")
+    looks = placed.where("look").selectExpr("k", "d", "lo", "n", "true as asked").unionByName(examples)
+    looks = work.save(looks.groupBy("k", "d").agg(F.collect_list(F.struct("lo", "n", "asked")).alias("spans")), "looks")
 
     def edge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column(0).to_numpy()
-            for of, lo, name, asked in named_windows(_bytes(b.column(1)), b.column(2).to_pylist(), threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(lo), pa.array(name), pa.array(asked)], names=["k", "lo", "name", "asked"])
+            key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for of, lo, name, other, asked in named_windows(_bytes(b.column(2)), b.column(3).to_pylist(), threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(doc[of]), pa.array(lo), pa.array(name), pa.array(other), pa.array(asked)], names=["k", "d", "lo", "name", "other", "asked"])
 
-    edges = work.save(docs.join(looks, "k").select("k", "text", "spans").mapInArrow(edge_windows, "k long, lo long, name long, asked boolean"), "edges")
-    twice = work.save(edges.groupBy("name").agg(F.count("*").alias("c"), F.max("asked").alias("asked")).where("c > 1 and asked").select("name"), "twice")
-    found = work.save(edges.where("asked").join(twice, "name").selectExpr("k", "lo", "cast(1 as short) as n"), "found")
+    edges = work.save(docs.join(looks, ["k", "d"]).select("k", "d", "text", "spans").mapInArrow(edge_windows, "k long, d long, lo long, name long, other long, asked boolean"), "edges")
+    twice = work.save(edges.groupBy("name", "other").agg(F.count("*").alias("c"), F.max("asked").alias("asked")).where("c > 1 and asked").select("name", "other"), "twice")
+    found = work.save(edges.where("asked").join(twice, ["name", "other"]).selectExpr("k", "d", "lo", "cast(1 as short) as n"), "found")
     work.drop("edges")
-    return placed.where("whole").select("k", "lo", "n").unionByName(found)
+    return placed.where("whole").select("k", "d", "lo", "n").unionByName(found)
 
 
 def remove_repeated(docs: DataFrame, threshold: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256, for every document."""
     work = WorkTables(docs.sparkSession, "suffixes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("k", F.xxhash64("doc_id", "text"))
-    spans = repeated(texts.select("k", "text"), work, threshold).groupBy("k").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    # A row's keys: its id (another hash where there is none), and the hash of its text.
+    texts = texts.withColumn("k", F.xxhash64("text")).withColumn("d", F.coalesce("doc_id", F.xxhash64(F.lit(1), "text")))
+    spans = repeated(texts.select("k", "d", "text"), work, threshold).groupBy("k", "d").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,5 +189,5 @@ def remove_repeated(docs: DataFrame, threshold: int) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    out = texts.join(work.save(spans, "spans"), "k", "left").select("doc_id", "text", "spans")
+    out = texts.join(work.save(spans, "spans"), ["k", "d"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
