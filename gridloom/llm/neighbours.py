@@ -2,11 +2,13 @@
 
 Vectors are brought to unit length and rotated at random, so that any leading columns are a fair
 sample of the distance. They are dealt to lists by their nearest of some centroids, which are fitted
-to a bounded sample; every vector is in a list. A query probes its nearest lists, as many as hold
-RECALL of the sample's true neighbours, and more where those hold fewer than k others. Within a list the columns are read in blocks: after each, a
-hypothesis test compares the distance so far, scaled to all columns, with the query's k-th best, and
-candidates that are too far at the test's confidence are read no further. What is left is scored
-again on the original vectors, in double precision.
+to a bounded sample, half the root of the rows in number up to MAX_LISTS; every vector is in a list. A query
+probes its nearest lists, as many as hold RECALL of the sample's true neighbours, and more where those
+hold fewer than k others. Within a list the columns are read in blocks: after each, a hypothesis test
+compares the distance so far, scaled to all columns, with the query's limit, and candidates that are too
+far at the test's confidence are read no further. The limit is at first the distance of the query's k-th
+nearest of the sample in the probed lists, and comes down as nearer ones are found. What is
+left is scored again on the original vectors, in double precision.
 
 A list is split into blocks of rows of a bounded size, and queries into groups of one, so a common
 vector, however common, fills no task.
@@ -29,7 +31,7 @@ from .common import WorkTables
 
 FIT_ROWS = 8000  # vectors that centroids are fitted to, at most
 FIT_QUERIES = 300
-MAX_LISTS = 512
+MAX_LISTS = 1000  # an eighth of the vectors that they are fitted to
 RECALL = 0.97
 COLUMNS = 16  # to a block
 DOUBT = 2.1  # the test's width: larger abandons fewer
@@ -66,15 +68,22 @@ def lists_to_probe(x: np.ndarray, c: np.ndarray, k: int) -> int:
     return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
 
 
-def scan(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, doubt: float = DOUBT, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, candidate) that may be among the k nearest; q, x: rotated unit vectors, own, ids: their vec_ids."""
+def scan(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, limits: np.ndarray | None = None, doubt: float = DOUBT, chunk: int = 512, tally: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that may be among the k nearest; q, x: rotated unit vectors, own, ids: their vec_ids.
+
+    limits: squared distances that each query's k-th nearest is known not to exceed. tally: gets
+    (candidates, those abandoned before their last columns).
+    """
     dim = x.shape[1]
     best = np.full((len(q), k), np.inf)  # squared distances
-    pairs = []
+    limits = np.full(len(q), np.inf) if limits is None else limits
+    pairs, seen, dropped = [], 0, 0
     for at in range(0, len(x), chunk):
         part = x[at : at + chunk]
-        limit = best[:, -1:]
+        limit = np.minimum(best[:, -1], limits)[:, None]
         dist, alive = np.zeros((len(q), len(part))), own[:, None] != ids[None, at : at + chunk]
+        began = int(alive.sum())
+        seen += began
         for a in range(0, dim, COLUMNS):
             b = min(a + COLUMNS, dim)
             qs, ps = q[:, a:b], part[:, a:b]
@@ -85,14 +94,34 @@ def scan(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int,
                 dist[i, j] += ((qs[i] - ps[j]) ** 2).sum(1)
             width = 1 + doubt / np.sqrt(b) if b < dim else 1 + 1e-9
             alive &= dist * (dim / b) <= limit * width**2 + 1e-9
+            if b < dim <= b + COLUMNS:  # the last block but one
+                dropped += began - int(alive.sum())
         i, j = np.nonzero(alive)
         pairs.append((i, j + at, dist[i, j]))
         best = np.sort(np.hstack([best, np.partition(np.where(alive, dist, np.inf), min(k, len(part)) - 1, axis=1)[:, :k]]), axis=1)[:, :k]
+    if tally is not None:
+        tally.append((seen, dropped))
     i, j, d = (np.concatenate(c) for c in zip(*pairs))
-    keep = d <= best[i, -1] + 1e-9  # the limit has come down since; ties stay
+    keep = d <= np.minimum(best[:, -1], limits)[i] + 1e-9  # the limit has come down since; ties stay
     return i[keep], j[keep]
 
 
+def sample_limits(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, probed: list | None = None, home: np.ndarray | None = None, chunk: int = 500) -> np.ndarray:
+    """Squared distance of each query's k-th nearest in the sample x, of other vec_ids and in the lists it probes (home: the sample's lists); infinite if there are fewer."""
+    out = np.full(len(q), np.inf)
+    if len(x) >= k:
+        for a in range(0, len(q), chunk):
+            near = q[a : a + chunk] @ x.T
+            near[own[a : a + chunk, None] == ids[None]] = -np.inf
+            if probed is not None:
+                met = np.zeros((len(near), home.max() + 1 + max(int(p.max()) for p in probed)), bool)
+                for j, p in enumerate(probed[a : a + chunk]):
+                    met[j, p] = True
+                near[~met[:, home]] = -np.inf
+            out[a : a + chunk] = 2 - 2 * np.partition(near, len(x) - k, axis=1)[:, len(x) - k] + 1e-9
+    return out
+
+
 def usable(v: Column, dim: int) -> Column:
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda e: e != 0), F.lit(False))
@@ -115,14 +144,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     dims = rows.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = dims["dim"] if dims else 1
     rows = rows.where(usable(F.col("v"), dim))
-    sampled = [r["v"] for r in rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(FIT_ROWS).collect()]
+    sampled = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(FIT_ROWS).collect()
+    sample_ids, sampled = np.array([r["vec_id"] for r in sampled], np.int64), [r["v"] for r in sampled]
     n = rows.count()
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out)
     x = _unit(np.array(sampled))
-    c = centroids(x, int(min(MAX_LISTS, max(1, round(np.sqrt(len(x)) / 2)))))
-    sent = spark.sparkContext.broadcast((c, lists_to_probe(x, c, k)))
+    c = centroids(x, int(min(MAX_LISTS, max(1, -(-len(x) // 8)), max(1, round(np.sqrt(n) / 2)))))
+    sent, known = spark.sparkContext.broadcast((c, lists_to_probe(x, c, k))), spark.sparkContext.broadcast((x, sample_ids, np.argmax(x @ c.T, axis=1)))  # at most FIT_ROWS vectors
 
     def deal(batches):
         c, probes = sent.value
@@ -151,28 +181,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
             held = np.cumsum(sizes[order], axis=1)
             enough = (held < (k + b.column(2).to_numpy())[:, None]).sum(1) + 1
             probed = [o[: max(probes, e)] for o, e in zip(order, enough)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(probed, pa.list_(pa.int32()))], names=["vec_id", "v", "probed"])
+            limits = sample_limits(_unit(_matrix(pa.chunked_array([b.column(1)]), dim)), b.column(0).to_numpy(), *known.value[:2], k, probed, known.value[2])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(probed, pa.list_(pa.int32())), pa.array(limits)], names=["vec_id", "v", "probed", "far"])
 
     asked = dealt.where("probed is not null").dropDuplicates(["vec_id"]).select("vec_id", "v")
-    asked = asked.join(dealt.groupBy("vec_id").agg(F.count("*").alias("copies")), "vec_id").mapInArrow(widen, "vec_id long, v array<double>, probed array<int>")
+    asked = asked.join(dealt.groupBy("vec_id").agg(F.count("*").alias("copies")), "vec_id").mapInArrow(widen, "vec_id long, v array<double>, probed array<int>, far double")
     asked = work.save(asked, "asked")
     groups = 1 + asked.count() // QUERIES
     spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), n).cast("int")
     # The row's place in its task joins in, as rows may repeat a vec_id.
     own = F.pmod(F.xxhash64("vec_id") + F.monotonically_increasing_id(), F.col("blocks")).cast("int")
     data = dealt.join(blocks, "list").select("vec_id", "v", "list", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    queries = asked.select("vec_id", "v", spread(1, F.lit(groups)).alias("part"), F.explode("probed").alias("list")).join(blocks, "list")
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"), F.col("list").alias("q_list"), F.col("part").alias("q_part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = asked.select("vec_id", "v", "far", spread(1, F.lit(groups)).alias("part"), F.explode("probed").alias("list")).join(blocks, "list")
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"), F.col("list").alias("q_list"), F.col("part").alias("q_part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "far")
     names = ["query_id", "vec_id", "score"]
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
         q, x, own, ids = _matrix(left["q"], dim), _matrix(right["v"], dim), left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-        turn, found = rotation(dim), []
+        turn, found, far = rotation(dim), [], left["far"].to_numpy()
         rq, rx, xn = _unit(q) @ turn, _unit(x) @ turn, None
         for a in range(0, len(q), 2000):
-            i, j = scan(rq[a : a + 2000], rx, own[a : a + 2000], ids, k)
+            i, j = scan(rq[a : a + 2000], rx, own[a : a + 2000], ids, k, far[a : a + 2000])
             for b in range(0, len(i), 200_000):
                 qi, xj = q[a + i[b : b + 200_000]], x[j[b : b + 200_000]]
                 qi, xj = qi / np.abs(qi).max(1, keepdims=True), xj / np.abs(xj).max(1, keepdims=True)
