@@ -15,9 +15,11 @@ A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that all of them see")
         found = "file://" + os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -82,10 +84,10 @@ def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") ->
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of text for each Arrow batch: the default of 10,000 whole documents takes much memory on both sides. A setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+    """Rows and bytes of text for each Arrow batch: the default of 10,000 whole documents takes much memory on both sides. A setting of the user's stays."""
+    for key, new in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(new))
 
 
 def local_path(uri: str) -> str | None:

@@ -263,10 +263,12 @@ def _same_sets(similarity: float):
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents without near copies: of each group the one with the least doc_id stays (a null id is the largest), all columns as they were."""
+    """The documents without near copies: of each group the one with the least doc_id stays (a null id is the largest), all columns as they were; of rows that share doc_id and text, the one whose other columns come first as JSON."""
     groups = similar_documents(docs, shingle, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
     stays = groups.groupBy("group").agg(F.min(order).alias("x")).select("x.doc_id", "x.h")
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("text"))
     kept = rows.alias("d").join(stays.alias("s"), F.expr("d.__id <=> s.doc_id and d.__h = s.h"), "left_semi")
-    return kept.dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.to_json(F.struct(*others)) if others else F.lit(""))
+    return kept.groupBy("__id", "__h").agg(row.alias("__row")).select("__row.*")
