@@ -7,6 +7,7 @@ read it, also after others are lost.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a local folder only where it is unset and all run on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that all of them see")
     return (found or "file://" + os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")).rstrip("/")
 
 
