@@ -31,6 +31,7 @@ from .components import components
 
 CHUNK = 1 << 16
 WIDE = 4  # 64-bit words of the wide fingerprint, and one more
+BEFORE = 2  # shingles just before a common one in which an earlier common one is sought
 SAMPLE, COMMON = 8000, 500_000  # sets whose shingles are counted, about; shingles that are kept as common
 
 
@@ -130,8 +131,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Prefix filtering: with all shingles in one order, two sets that are similar share one of the first
     |x| - ceil(similarity |x|) + 1 shingles of both, so no pair is missed, whatever the corpus's size. Any
     order is right; common shingles (counted on a bounded sample) come last, so that sets which share a
-    passage but little else don't meet. First each set is linked with one of each list it stands in, and
-    only sets that this leaves in different clusters are compared pair by pair, the nearest of each first.
+    passage but little else don't meet. First each set is linked with one of each list it stands in: the one
+    with the fewest shingles before, which is nearest to what the list's sets have in common. Only sets that
+    this leaves in different clusters are compared pair by pair, where they can be similar by their sizes,
+    fingerprints and places: behind their first common shingle both must have enough left.
     """
     work = WorkTables(docs.sparkSession, "similar")
     words = [f"f{k}" for k in range(WIDE + 1)]
@@ -153,9 +156,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     prints = work.save(rows.mapInArrow(run, "doc_id long, h long, c long, n long, " + ", ".join(f"{w} long" for w in words) + ", tokens array<long>"), "prints")
     # Equal sets are one class, and one of its rows stands for it.
     classes = work.save(prints.groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("r"), *(F.first(x).alias(x) for x in ("n", *words))), "classes")
-    prefixes = prints.select("c", F.explode("tokens").alias("token"))
-    lists = prefixes.groupBy("token").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub <> last").select("token", "hub")
-    met = work.save(prefixes.join(work.save(lists, "lists"), "token").distinct(), "met")
+    prefixes = prints.dropDuplicates(["c"]).select("c", "n", F.posexplode("tokens").alias("pos", "token"), "tokens")
+    prefixes = prefixes.select("token", "c", "n", "pos", F.expr(f"slice(tokens, greatest(pos - {BEFORE}, 0) + 1, least(pos, {BEFORE})) before"))
+    lists = prefixes.groupBy("token").agg(F.min_by("c", F.struct("pos", "c")).alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token", "hub")
+    met = work.save(prefixes.join(work.save(lists, "lists"), "token"), "met")
 
     sides = {side: classes.select(*(F.col(x).alias(f"{side}_{x}") for x in ("c", "n", *words))) for side in "ab"}
     gap = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
@@ -186,21 +190,15 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     links = similar(work.save(hubs, "hubs"), "hubs")
     labels = clusters(links, "hubs")
     # Lists that still hold several clusters: every pair across clusters.
-    met = work.save(met.select("token", "c").join(labels, "c"), "open")
+    met = work.save(met.select("token", "c", "pos", "before").join(labels, "c"), "open")
     mixed = met.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     met = work.save(met.join(mixed, "token").join(classes.drop("r"), "c"), "mixed")
-    x, y = (met.select("token", *(F.col(v).alias(f"{side}_{v}") for v in ("label", "c", "n", *words))) for side in "ab")
-    pairs = x.join(y, "token").where(F.expr("a_c < b_c and a_label <> b_label") & fits).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), gap.alias("gap")).distinct()
-    pairs = work.save(pairs, "pairs")
-    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).union(pairs.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")).distinct()
-    nearest = work.save(nearest, "nearest")
-    links = links.union(similar(nearest, "nearest"))
-    labels = clusters(links, "nearest")
-    rest = pairs.join(nearest, ["a", "b"], "left_anti").select("a", "b")
-    for side in "ab":
-        rest = rest.join(labels.select(F.col("c").alias(side), F.col("label").alias(f"{side}_label")), side)
-    rest = work.save(rest.where("a_label <> b_label").select("a", "b"), "rest")
-    labels = clusters(links.union(similar(rest, "rest")), "rest")
+    x, y = (met.select("token", *(F.col(v).alias(f"{side}_{v}") for v in ("label", "c", "pos", "before", "n", *words))) for side in "ab")
+    # Where a shingle just before is common as well, the pair has met there; its first common shingle has none before.
+    first = ~F.arrays_overlap("a_before", "b_before")
+    pairs = x.join(y, "token").where(F.expr("a_c < b_c and a_label <> b_label") & fits & _enough_left(similarity) & first)
+    pairs = work.save(pairs.select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct(), "pairs")
+    labels = clusters(links.union(similar(pairs, "pairs")), "pairs")
     out = work.save(prints.select("doc_id", "h", "c").join(labels.select("c", F.col("label").alias("group")), "c").select("doc_id", "h", "group"), "groups")
     for part in ("prints", "met", "mixed", "open"):
         work.drop(part)
@@ -220,6 +218,12 @@ def _may_be_similar(similarity: float, gap):
     return (least >= most * similarity - 1e-9) & ((least < 50) | (gap <= int(n * share + 5 * sqrt(n * share * (1 - share)) + 1)))
 
 
+def _enough_left(similarity: float):
+    """What places (from 0) in the order don't rule out, if the token is the first that a and b share: the rest of both holds the overlap that the similarity takes."""
+    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - 1e-9)
+    return F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= overlap
+
+
 def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of a sample's texts have, ascending, and how many. They only order shingles, so the sample costs no pair."""
 
