@@ -38,7 +38,7 @@ from .labelled import held_out, learnable, sample
 
 #: Labelled documents that are learnt from, at most, by class; only those of so many characters are.
 MOST = {1: 2000, 0: 4000}
-LEARN_CHARS = 8_000
+LEARN_CHARS = 4_000
 #: Windows of harmless sentences that a round trains on besides the highest of each document, at most.
 NEGATIVES = 6000
 LANDMARKS = 160
@@ -54,7 +54,7 @@ SHAPES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4),
 WEIGHTS = [DECAY ** (s[-1] - len(s)) for s in SHAPES]
 PLAIN = [k for k, w in enumerate(WEIGHTS) if w == 1]
 #: Bits of a subsequence's place where documents are counted, and in the folded table, of which little is filled.
-COUNTED, FOLDED = 22, 20
+COUNTED, FOLDED = 20, 20
 
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _MIX = np.uint32(0x2C1B3C6D)
@@ -316,7 +316,7 @@ def _highest(s: Stream, scores: np.ndarray) -> np.ndarray:
     return top[np.r_[True, np.diff(s.sentence[top]) > 0]]
 
 
-def _parts(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str], size: int = 250_000) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
         to, chars = at, 0
@@ -450,7 +450,9 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Ma
     chosen = sample(marked.select("doc_id", "y").distinct(), most)
     rows = docs.select("doc_id", "text").where(F.length("text") <= LEARN_CHARS).join(F.broadcast(chosen), "doc_id")  # at most sum(most) rows
     got = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect())
-    return fit([prepared(r["text"]) for r in got], np.array([r["y"] for r in got], np.int64))
+    texts, y = [prepared(r["text"]) for r in got], np.array([r["y"] for r in got], np.int64)
+    del got  # the driver's memory is small
+    return fit(texts, y)
 
 
 def score(docs: DataFrame, machine: Machine | None, columns: list[str], name: str = "score") -> DataFrame:
