@@ -15,7 +15,7 @@ instance learning); a sentence's score is its highest window's. A document's sco
 function, fitted to the learnt rows, of its highest sentence's.
 
 The sample of labelled rows that is learnt from is bounded (MOST rows, LEARN_CHARS each, and NEGATIVES
-windows to train on); scores read whole texts, some PIECE characters at a time.
+windows to train on), so one task learns; the driver gets the folded table only. Scores read whole texts, some PIECE characters at a time.
 
 Defined results: null and empty texts have no words and get the lowest score, that of a document without
 sentences; repeated rows each get a row, repeated labels count once; without learnable documents of both
@@ -38,7 +38,7 @@ from .labelled import held_out, learnable, sample
 
 #: Labelled documents that are learnt from, at most, by class; only those of so many characters are.
 MOST = {1: 2000, 0: 4000}
-LEARN_CHARS = 4_000
+LEARN_CHARS = 8_000
 #: Windows of harmless sentences that a round trains on besides the highest of each document, at most.
 NEGATIVES = 6000
 LANDMARKS = 160
@@ -54,7 +54,7 @@ SHAPES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4),
 WEIGHTS = [DECAY ** (s[-1] - len(s)) for s in SHAPES]
 PLAIN = [k for k, w in enumerate(WEIGHTS) if w == 1]
 #: Bits of a subsequence's place where documents are counted, and in the folded table, of which little is filled.
-COUNTED, FOLDED = 20, 20
+COUNTED, FOLDED = 22, 20
 
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _MIX = np.uint32(0x2C1B3C6D)
@@ -445,14 +445,20 @@ def score_texts(texts: list[str | None], machine: Machine, table: np.ndarray) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Machine | None:
-    """A machine fitted to a bounded sample of labelled documents; None without both classes."""
+    """A machine fitted in one task to a bounded sample of labelled documents; None without both classes."""
     marked = docs.select("doc_id", "text").where(F.length("text") <= LEARN_CHARS).join(learnable(labels, "toxic"), "doc_id")
     chosen = sample(marked.select("doc_id", "y").distinct(), most)
     rows = docs.select("doc_id", "text").where(F.length("text") <= LEARN_CHARS).join(F.broadcast(chosen), "doc_id")  # at most sum(most) rows
-    got = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect())
-    texts, y = [prepared(r["text"]) for r in got], np.array([r["y"] for r in got], np.int64)
-    del got  # the driver's memory is small
-    return fit(texts, y)
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).withColumn("one", F.lit(0))
+    schema = pa.schema([("cols", pa.list_(pa.int64())), ("values", pa.list_(pa.float64())), ("bias", pa.float64()), ("logistic", pa.list_(pa.float64()))])
+
+    def run(marked: pa.Table) -> pa.Table:
+        marked = marked.sort_by("doc_id")
+        m = fit([prepared(t.as_py()) for t in marked.column("text")], marked.column("y").to_numpy().astype(np.int64))
+        return pa.Table.from_pylist([{"cols": m.cols, "values": m.values, "bias": m.bias, "logistic": m.logistic}] if m else [], schema=schema)
+
+    got = rows.groupBy("one").applyInArrow(run, "cols array<long>, values array<double>, bias double, logistic array<double>").collect()
+    return Machine(np.array(got[0]["cols"], np.int64), np.array(got[0]["values"]), got[0]["bias"], np.array(got[0]["logistic"])) if got else None
 
 
 def score(docs: DataFrame, machine: Machine | None, columns: list[str], name: str = "score") -> DataFrame:
