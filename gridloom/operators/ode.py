@@ -89,19 +89,31 @@ class RkOptions:
     least: float = 1e-9
 
 
+@dataclass(frozen=True)
+class BdfOptions:
+    first: float | None = None  # the start step; None: chosen
+    atol: float = 1e-6
+    rtol: float = 1e-3
+    most: int = 100_000
+    newton: int = 10
+
+
 def _rms(x):
     return np.sqrt((x * x).mean(1))
 
 
-def first_step(f: Callable, t, y, order: int, atol: float, rtol: float):
-    """The start step of Hairer, Norsett and Wanner: small against the solution and its first two derivatives."""
+def first_step(f: Callable, t, y, root: int, atol: float, rtol: float):
+    """The start step of Hairer, Norsett and Wanner: small against the solution and its first two derivatives.
+
+    root: of what the derivatives leave of the step; a Runge-Kutta method's order, a BDF's and one.
+    """
     scale = atol + rtol * np.abs(y)
     k = f(t, y)
     d0, d1 = _rms(y / scale), _rms(k / scale)
     h0 = np.where((d0 < 1e-5) | (d1 < 1e-5), 1e-6, 0.01 * d0 / np.where(d1 == 0, 1, d1))
     d2 = _rms((f(t + h0, y + h0[:, None] * k) - k) / scale) / h0
     top = np.maximum(d1, d2)
-    h1 = np.where(top <= 1e-15, np.maximum(1e-6, h0 * 1e-3), (0.01 / np.where(top == 0, 1, top)) ** (1 / (order + 1)))
+    h1 = np.where(top <= 1e-15, np.maximum(1e-6, h0 * 1e-3), (0.01 / np.where(top == 0, 1, top)) ** (1 / root))
     return np.minimum(100 * h0, h1)
 
 
@@ -204,86 +216,115 @@ def bdf_fixed(f, t0, t1, steps: int, y0, order: int = 5, jac=None):
     return last[0], ok
 
 
-def bdf_adaptive(f, t0, t1, y0, first: float | None = None, atol: float = 1e-6, rtol: float = 1e-3, most: int = 100_000, jac=None):
-    """(y, status, steps) of variable-order (1 to 5), variable-step BDF in backward differences, a system at a time."""
+# The NDF constants of Shampine and Reichelt for orders 0 to 5.
+KAPPA = np.array([0, -0.1850, -1 / 9, -0.0823, -0.0415, 0])
+GAMMA = np.concatenate([[0], np.cumsum(1 / np.arange(1, 6))])
+ALPHA, ERROR = (1 - KAPPA) * GAMMA, KAPPA * GAMMA + 1 / np.arange(1, 7)
+TOP = 5  # highest order
+
+
+def _rescaled(d, order, factor):
+    """Differences (systems, 8, equations) on a grid whose step is `factor` as wide, each system up to its own order."""
+    k = np.arange(TOP + 1)
+
+    def r(x):
+        m = np.ones((len(x), TOP + 1, TOP + 1))
+        m[:, 1:] = (k[1:, None] - 1 - x[:, None, None] * k) / k[1:, None]
+        m[:, 1:, 0] = 0
+        return np.cumprod(m, axis=1)
+
+    inside = (k[:, None] <= order[:, None, None]) & (k <= order[:, None, None])
+    change = np.where(inside, r(factor) @ r(np.ones(len(factor))), np.eye(TOP + 1))
+    out = d.copy()
+    out[:, : TOP + 1] = change.transpose(0, 2, 1) @ d[:, : TOP + 1]
+    return out
+
+
+def _corrections(f, jac, t, predicted, psi, c, scale, close: float, most: int):
+    """(change, found, iterations) of Newton's method with one Jacobian a step: change = c f(t, predicted + change) - psi."""
+    n = predicted.shape[1]
+    matrix = np.eye(n) - c[:, None, None] * jac(t, predicted)
+    fit = np.isfinite(matrix).all((1, 2))
+    fit[fit] = np.linalg.det(matrix[fit]) != 0
+    matrix[~fit] = np.eye(n)
+    change, found, count = np.zeros_like(predicted), np.zeros(len(t), bool), np.zeros(len(t), int)
+    for _ in range(most):
+        at = np.flatnonzero(fit & ~found)
+        if not len(at):
+            break
+        rest = c[at, None] * f(t[at], predicted[at] + change[at]) - psi[at] - change[at]
+        step = np.linalg.solve(matrix[at], rest[:, :, None])[:, :, 0]
+        change[at] += step
+        count[at] += 1
+        found[at] = _rms(step / scale[at]) < close
+    return change, found, count
+
+
+def bdf_adaptive(f, t0, t1, y0, options: BdfOptions = BdfOptions(), jac=None):
+    """(y, status, steps) of variable-order (1 to 5), variable-step BDF (NDF) in backward differences.
+
+    All systems of the stack step together, each with its own time, step and order.
+    """
     jac = jac or (lambda t, y: numeric_jacobian(f, t, y))
-    gamma = np.concatenate([[0], np.cumsum(1 / np.arange(1, 7))])
-    out, status, counts = y0.astype(float).copy(), [], []
-    for k in range(len(y0)):
-        one = lambda t, y: f(np.array([t]), y[None])[0]
-        t, end, y, n = float(t0[k]), float(t1[k]), y0[k].astype(float).copy(), y0.shape[1]
-        h = first if first else float(first_step(f, t0[k : k + 1].astype(float), y[None], 1, atol, rtol)[0])
-        d = np.zeros((8, n))
-        d[0], d[1] = y, one(t, y) * h
-        order, same, count, state = 1, 0, 0, SUCCESS
-
-        def rescale(d, order, factor):
-            """Differences at another step: values on the new grid of the polynomial that they describe."""
-            def r(x):
-                m = np.ones((order + 1, order + 1))
-                for i in range(1, order + 1):
-                    for j in range(1, order + 1):
-                        m[i, j] = (i - 1 - x * j) / i
-                m[0, 1:] = 1
-                m[1:, 0] = 0
-                return np.cumprod(m, axis=0)
-            d[: order + 1] = (r(factor) @ r(1.0)).T @ d[: order + 1]
-
-        while t < end:
-            if count >= most:
-                state = MAX_STEPS
-                break
-            if t + h > end:
-                rescale(d, order, (end - t) / h)
-                h, same = end - t, 0
-            if h < 1e-14 * max(1, abs(t)):
-                state = MIN_SIZE
-                break
-            predicted = d[: order + 1].sum(0)
-            scale = atol + rtol * np.abs(predicted)
-            psi = (gamma[1 : order + 1] @ d[1 : order + 1]) / gamma[order]
-            c = h / gamma[order]
-            change, good, matrix = np.zeros(n), False, np.eye(n) - c * jac(np.array([t + h]), predicted[None])[0]
-            for _ in range(6):
-                step = np.linalg.solve(matrix, c * one(t + h, predicted + change) - psi - change)
-                change += step
-                if np.sqrt(((step / scale) ** 2).mean()) < 0.03 * min(1, rtol**0.5 * 10):
-                    good = True
-                    break
-            if not good:
-                rescale(d, order, 0.5)
-                h, same = h / 2, 0
-                continue
-            new = predicted + change
-            scale = atol + rtol * np.abs(new)
-            norm = lambda v: np.sqrt(((v / scale) ** 2).mean())  # noqa: E731,B023
-            error = norm(change / (order + 1))
-            if error > 1:
-                factor = max(0.2, 0.9 * error ** (-1 / (order + 1)))
-                rescale(d, order, factor)
-                h, same = h * factor, 0
-                continue
-            count, same, t = count + 1, same + 1, t + h
-            d[order + 2], d[order + 1] = change - d[order + 1], change
-            for i in range(order, -1, -1):
-                d[i] += d[i + 1]
-            if same < order + 1:
-                continue
-            lower = norm(d[order] / order) if order > 1 else np.inf
-            higher = norm(d[order + 2] / (order + 2)) if order < 5 else np.inf
-            with np.errstate(divide="ignore"):
-                gains = np.array([lower, error, higher]) ** (-1 / np.arange(order, order + 3))
-            order += int(np.argmax(gains)) - 1
-            factor = min(10, 0.9 * gains.max())
-            rescale(d, order, factor)
-            h, same = h * factor, 0
-        out[k] = d[0]
-        status.append(state)
-        counts.append(count)
-    return out, np.array(status, object), np.array(counts)
-
-
-def solve(df: DataFrame, f, method: str = "RKF45", steps: int | None = None, options: RkOptions = RkOptions(), jac=None) -> DataFrame:
+    y, t, end, n = y0.astype(float), t0.astype(float).copy(), t1.astype(float), len(y0)
+    atol, rtol = options.atol, options.rtol
+    close = max(10 * np.finfo(float).eps / rtol, min(0.03, rtol**0.5))
+    h = np.full(n, float(options.first)) if options.first else first_step(f, t, y, 2, atol, rtol)
+    d = np.zeros((n, 8, y.shape[1]))
+    d[:, 0], d[:, 1] = y, f(t, y) * h[:, None]
+    order, same, count = np.ones(n, int), np.zeros(n, int), np.zeros(n, int)
+    status, live = np.array([SUCCESS] * n, object), t < end
+
+    def resize(at, factor):
+        d[at] = _rescaled(d[at], order[at], factor)
+        h[at] *= factor
+        same[at] = 0
+
+    while live.any():
+        over = np.flatnonzero(live & (t + h > end))
+        resize(over, (end[over] - t[over]) / h[over])
+        small, long = live & ~(h >= 1e-14 * np.maximum(1, np.abs(t))), live & (count >= options.most)
+        status[small], status[long] = MIN_SIZE, MAX_STEPS
+        live &= ~small & ~long
+        at = np.flatnonzero(live)
+        if not len(at):
+            break
+        p, past = order[at], d[at, : TOP + 1]
+        held = np.arange(TOP + 1) <= p[:, None]
+        predicted = (past * held[:, :, None]).sum(1)
+        psi = (past * (held * GAMMA)[:, :, None]).sum(1) / ALPHA[p, None]
+        scale = atol + rtol * np.abs(predicted)
+        change, found, tries = _corrections(f, jac, t[at] + h[at], predicted, psi, h[at] / ALPHA[p], scale, close, options.newton)
+        scale = atol + rtol * np.abs(predicted + change)
+        error = ERROR[p] * _rms(change / scale)
+        safety = 0.9 * (2 * options.newton + 1) / (2 * options.newton + tries)
+        good = found & (error <= 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            shrink = np.where(found, np.fmax(0.2, safety * error ** (-1 / (p + 1))), 0.5)
+        resize(at[~good], shrink[~good])
+
+        at, p, change, scale, error, safety = at[good], p[good], change[good], scale[good], error[good], safety[good]
+        t[at] = np.where(t[at] + h[at] >= end[at] - 1e-15 * np.abs(end[at]), end[at], t[at] + h[at])
+        count[at] += 1
+        same[at] += 1
+        d[at, p + 2], d[at, p + 1] = change - d[at, p + 1], change
+        for k in range(TOP, -1, -1):
+            of = at[p >= k]
+            d[of, k] += d[of, k + 1]
+        live[at[t[at] >= end[at]]] = False
+
+        ready = same[at] >= p + 1
+        at, p, scale, error, safety = at[ready], p[ready], scale[ready], error[ready], safety[ready]
+        lower = np.where(p > 1, ERROR[p - 1] * _rms(d[at, p] / scale), np.inf)
+        higher = np.where(p < TOP, ERROR[np.minimum(p + 1, TOP)] * _rms(d[at, p + 2] / scale), np.inf)
+        with np.errstate(divide="ignore"):
+            gains = np.stack([lower, error, higher]) ** (-1 / (p + np.arange(3)[:, None]))
+        order[at] = p + gains.argmax(0) - 1
+        resize(at, np.minimum(10, safety * gains.max(0)))
+    return d[:, 0].copy(), status, count
+
+
+def solve(df: DataFrame, f, method: str = "RKF45", steps: int | None = None, options: RkOptions = RkOptions(), jac=None, bdf: BdfOptions = BdfOptions()) -> DataFrame:
     """Rows (id, t0, t1, y0 array) -> id, y, status. method: a Runge-Kutta name, BDF1 to BDF6 (with steps), or BDF (adaptive).
 
     f(t, y) may read further columns: it gets them as keyword `params`, a data frame, if it takes one.
@@ -303,7 +344,7 @@ def solve(df: DataFrame, f, method: str = "RKF45", steps: int | None = None, opt
                 if method in TABLEAUS:
                     y, status, _ = runge_kutta(g, t0, t1, y0, method, options)
                 elif method == "BDF":
-                    y, status, _ = bdf_adaptive(g, t0, t1, y0, jac=jac)
+                    y, status, _ = bdf_adaptive(g, t0, t1, y0, bdf, jac)
                 else:
                     y, ok = bdf_fixed(g, t0, t1, steps or 100, y0, int(method[3:]), jac)
                     status = np.where(ok, SUCCESS, "NEWTON")
