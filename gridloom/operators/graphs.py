@@ -159,19 +159,19 @@ def _named(own: DataFrame) -> DataFrame:
     return own.join(names, "root").select("i", "label")
 
 
-def match(edges: DataFrame, vertices: DataFrame, rounds: int = 30) -> DataFrame:
-    """i, root: heavy-edge matching. Each round, open vertices point to their heaviest open neighbour (ties by hash); pairs that point to each other are merged. What is left stays alone."""
+def match(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """i, root: heavy-edge matching. Each round, open vertices point to their heaviest open neighbour (ties by hash); pairs that point to each other are merged, until no two open vertices are neighbours (the heaviest open edge always makes a pair). What is left stays alone."""
     steps = Steps(edges.sparkSession, "match")
     e = steps.keep("edges", edges.where("src <> dst").select("src", "dst", "w"))
-    own = steps.keep("own", vertices.select("i").limit(0).withColumn("root", F.lit(0).cast("long")))
-    for _ in range(rounds):
+    own = steps.add("own", vertices.select("i").limit(0).withColumn("root", F.col("i")))
+    while True:
         live = e.join(own.select(F.col("i").alias("src")), "src", "left_anti").join(own.select(F.col("i").alias("dst")), "dst", "left_anti")
         key = F.struct("w", mixed(F.least("src", "dst") * 31 + F.greatest("src", "dst")), F.least("src", "dst"), F.greatest("src", "dst"))
         points = live.groupBy("src").agg(F.max_by("dst", key).alias("dst"))
         pairs = steps.keep("pairs", points.alias("a").join(points.alias("b"), F.expr("a.dst = b.src and a.src = b.dst")).select(F.expr("a.src as i"), F.expr("least(a.src, a.dst) as root")))
         if not pairs.limit(1).count():
             break
-        own = steps.keep("own", own.unionByName(pairs))
+        own = steps.add("own", pairs)
     return own.unionByName(vertices.select("i").join(own, "i", "left_anti").select("i", F.col("i").alias("root")))
 
 
@@ -189,13 +189,13 @@ def hec(edges: DataFrame, vertices: DataFrame, start: DataFrame | None = None) -
         mutual = mutual.join(taken, "i", "left_anti").join(taken.withColumnRenamed("i", "root"), "root", "left_anti").select("i", "root")
         other = mutual.groupBy("root").agg(F.count("*").alias("n")).where("n = 2").select("root")  # both ends are free
         mutual = start.select("i", "root").unionByName(mutual.join(other, "root").select("i", "root"))
-    own = steps.keep("own", mutual)
+    own = steps.add("own", mutual)
     while True:
         more = points.join(own.select(F.col("i").alias("src")), "src", "left_anti").join(own.withColumnRenamed("i", "dst"), "dst").select(F.col("src").alias("i"), "root")
         more = steps.keep("more", more)
         if not more.limit(1).count():
             break
-        own = steps.keep("own", own.unionByName(more))
+        own = steps.add("own", more)
     return own.unionByName(vertices.select("i").join(own, "i", "left_anti").select("i", F.col("i").alias("root")))
 
 
@@ -299,30 +299,42 @@ def visit_triangles(edges: DataFrame, visitor, schema: str) -> DataFrame:
     return triangles(edges).mapInPandas(visitor, schema)
 
 
+def _starts(e: DataFrame, deg: DataFrame, steps: Steps) -> DataFrame:
+    """i, degree, root (degree, i): each vertex's component, by its vertex of the least degree, then id."""
+    now = steps.keep("root", deg.select("i", "degree", F.struct("degree", "i").alias("root"), F.lit(True).alias("new")))
+    while True:
+        # Only vertices whose root has changed tell others.
+        told = e.join(now.where("new").select(F.col("i").alias("src"), "root"), "src").groupBy(F.col("dst").alias("i")).agg(F.min("root").alias("told"))
+        lower = F.coalesce(F.col("told") < F.col("root"), F.lit(False))
+        now = steps.keep("root", now.join(told, "i", "left").select("i", "degree", F.when(lower, F.col("told")).otherwise(F.col("root")).alias("root"), lower.alias("new")))
+        if not now.where("new").limit(1).count():
+            return now.drop("new")
+
+
 def rcm(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """i, label: reverse Cuthill-McKee, a frontier a round. Components follow each other by their vertex of the least degree; within a frontier, vertices stand by their first parent's place, degree and id."""
+    """i, label: reverse Cuthill-McKee, a frontier a round. Components follow each other by their vertex of the least degree; within a frontier, vertices stand by their first parent's place, degree and id.
+
+    All components move at once, so rounds are as many as the longest needs.
+    """
     steps = Steps(edges.sparkSession, "rcm")
-    deg = steps.keep("degrees", degrees(edges, vertices))
     e = steps.keep("edges", edges.where("src <> dst").select("src", "dst").distinct())
-    n, done = vertices.count(), 0
-    placed = steps.keep("placed", deg.select("i").limit(0).withColumn("place", F.lit(0).cast("long")))
-    frontier = None
-    while done < n:
-        if frontier is None:
-            left = deg.join(placed, "i", "left_anti")
-            new = left.orderBy("degree", "i").limit(1).select("i", F.lit(done).cast("long").alias("place"))
-        else:
-            reached = e.join(frontier.select(F.col("i").alias("src"), "place"), "src").join(placed.select(F.col("i").alias("dst")), "dst", "left_anti")
-            reached = reached.groupBy(F.col("dst").alias("i")).agg(F.min("place").alias("parent")).join(deg, "i")
-            new = numbered(reached, "parent", "degree", "i").select("i", (F.col("place") + done).alias("place"))
-        frontier = steps.keep("frontier", new)
-        found = frontier.count()
-        if not found:
-            frontier = None
-            continue
-        placed = steps.keep("placed", placed.unionByName(frontier))
-        done += found
-    return placed.select("i", (n - 1 - F.col("place")).alias("label"))
+    known = _starts(e, degrees(edges, vertices), steps)
+    # place: within the component; numbered_upto: how many of the component have one, the frontier with it.
+    frontier = known.where("i = root.i").select("i", "root", F.lit(0).cast("long").alias("place"), F.lit(1).cast("long").alias("numbered_upto"))
+    while True:
+        frontier = steps.keep("frontier", frontier)
+        if not frontier.limit(1).count():
+            break
+        placed = steps.add("placed", frontier.select("i", "root", "place"))
+        reached = e.join(frontier.select(F.col("i").alias("src"), "place", "numbered_upto"), "src").join(placed.select(F.col("i").alias("dst")), "dst", "left_anti")
+        reached = reached.groupBy(F.col("dst").alias("i")).agg(F.min("place").alias("parent"), F.first("numbered_upto").alias("numbered_upto")).join(known, "i")
+        new = steps.keep("new", numbered(reached, "root", "parent", "degree", "i"))
+        own = new.groupBy("root").agg(F.min("place").alias("least"), F.count("*").alias("n"))
+        frontier = new.join(own, "root").select("i", "root", (F.col("place") - F.col("least") + F.col("numbered_upto")).alias("place"), (F.col("numbered_upto") + F.col("n")).alias("numbered_upto"))
+    n = known.count()
+    if not n:
+        return known.select("i", F.lit(0).cast("long").alias("label"))
+    return numbered(placed.withColumnRenamed("place", "at"), "root", "at").select("i", (n - 1 - F.col("place")).alias("label"))
 
 
 def bandwidth(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -330,12 +342,12 @@ def bandwidth(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("bandwidth"))
 
 
-def rcb(points: DataFrame, levels: int, ratio: float = 1.1, most: int = 60) -> DataFrame:
+def rcb(points: DataFrame, levels: int, ratio: float = 1.1) -> DataFrame:
     """id, part: recursive coordinate bisection of points (id, x[, y[, z]]) into 2^(levels - 1) parts.
 
     Each part is cut across its longest axis (the first of equal ones) at a midpoint that moves towards
-    the heavier side until the halves' sizes are within the ratio or no longer change. All parts of a
-    level are cut side by side; a move is one sum over the points.
+    the heavier side until the halves' sizes are within the ratio, or only one value is left that a cut
+    could put on the other side (equal coordinates stay together). All parts of a level are cut side by side; a move is one sum over the points.
     """
     if levels < 2:
         raise ValueError("levels must be two at least")
@@ -352,23 +364,28 @@ def rcb(points: DataFrame, levels: int, ratio: float = 1.1, most: int = 60) -> D
         cuts = {r["part"]: [r["axis"], r["lo"], r["hi"], None] for r in box.select("part", axis.alias("axis"), lo.alias("lo"), hi.alias("hi")).collect()}  # a row for each part
         value = F.coalesce(*(F.when(F.try_element_at(F.create_map(*(x for p, c in cuts.items() for x in (F.lit(p).cast("long"), F.lit(c[0])))), F.col("part")) == a, F.col(a)) for a in axes))
         along = steps.keep("along", now.withColumn("_v", value))
+        # Values that the cut may still move past: from `least` (the smallest beyond lo) to `top` (the largest up to hi).
         open_, mids = set(cuts), {p: (c[1] + c[2]) / 2 for p, c in cuts.items()}
-        for _ in range(most):
+        least, top = {p: c[1] for p, c in cuts.items()}, {p: c[2] for p, c in cuts.items()}
+        while open_:
             mid = F.try_element_at(F.create_map(*(x for p, m in mids.items() for x in (F.lit(p).cast("long"), F.lit(float(m))))), F.col("part"))
-            got = along.groupBy("part").agg(F.count_if(F.col("_v") > mid).alias("above"), F.count("*").alias("n")).collect()
+            above = F.col("_v") > mid
+            got = along.groupBy("part").agg(F.count_if(above).alias("above"), F.count("*").alias("n"), F.max(F.when(~above, F.col("_v"))).alias("top"), F.min(F.when(above, F.col("_v"))).alias("least")).collect()
             for r in got:
                 p, below = r["part"], r["n"] - r["above"]
                 if p not in open_:
                     continue
-                if max(below, r["above"]) <= ratio * max(1, min(below, r["above"])) or cuts[p][3] == (below, cuts[p][1], cuts[p][2]):
-                    open_.discard(p)
-                    continue
-                cuts[p][2 if below > r["above"] else 1] = mids[p]
-                if (new := (cuts[p][1] + cuts[p][2]) / 2) == mids[p]:
+                even = max(below, r["above"]) <= ratio * max(1, min(below, r["above"]))
+                if below > r["above"]:
+                    cuts[p][2], top[p] = mids[p], r["top"]
+                else:
+                    cuts[p][1], least[p] = mids[p], r["least"]
+                new = (cuts[p][1] + cuts[p][2]) / 2
+                if even or new == mids[p] or least[p] is None or least[p] >= top[p]:
                     open_.discard(p)
-                mids[p] = new
-            if not open_:
-                break
+                else:
+                    mids[p] = new
+            open_ &= {r["part"] for r in got}
         mid = F.try_element_at(F.create_map(*(x for p, m in mids.items() for x in (F.lit(p).cast("long"), F.lit(float(m))))), F.col("part"))
         now = steps.keep("points", along.withColumn("part", F.col("part") * 2 + (F.col("_v") > mid).cast("long")).drop("_v"))
     return now.select("id", "part")

@@ -48,24 +48,20 @@ def solve(a: DataFrame, b: DataFrame, uplo: str = "L", trans: str = "N", unit: b
     a, uplo = _oriented(a, uplo, trans)
     level = steps.keep("level", levels(a, b.select("i"), uplo, "N", steps))
     off = a.where(F.col("j") < F.col("i") if uplo == "L" else F.col("j") > F.col("i"))
-    off = steps.keep("off", off.join(level, "i"))
     diagonal = b.select("i", F.lit(1.0).alias("d")) if unit else a.where("i = j").select("i", F.col("v").alias("d"))
-    right = steps.keep("right", b.join(diagonal, "i", "left").join(level, "i").select("i", "v", F.coalesce("d", F.lit(0.0)).alias("d"), "level"))
+    right = b.join(diagonal, "i", "left").join(level, "i").select("i", "v", F.coalesce("d", F.lit(0.0)).alias("d"), "level")
+    # Sorted by level, so that a level's scan passes over the others' row groups.
+    by_level = lambda df: df.repartitionByRange("level").sortWithinPartitions("level")
+    off, right = steps.keep("off", by_level(off.join(level, "i"))), steps.keep("right", by_level(right))
     last = level.agg(F.max("level")).first()[0] or 0
-    parts: list[DataFrame] = []
+    solved = None
     for k in range(1, last + 1):
         here = right.where(F.col("level") == k)
-        if parts:
-            solved = parts[0]
-            for p in parts[1:]:
-                solved = solved.unionByName(p)
+        if solved is not None:
             got = off.where(F.col("level") == k).join(solved.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
             here = here.join(got, "i", "left").withColumn("v", F.col("v") - F.coalesce("s", F.lit(0.0)))
-        parts.append(steps.keep(f"x{k}", here.select("i", (F.col("v") / F.col("d")).alias("v"))))
-    out = parts[0] if parts else b.select("i", "v").limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        solved = steps.add("x", here.select("i", (F.col("v") / F.col("d")).alias("v")))
+    return solved if solved is not None else b.select("i", "v").limit(0)
 
 
 def fill_levels(a: DataFrame, most: int) -> DataFrame:
@@ -92,19 +88,21 @@ def sweep(a: DataFrame, lower: DataFrame, upper: DataFrame) -> tuple[DataFrame,
     return new.where("i > j"), new.where("i <= j")
 
 
-def ilu(a: DataFrame, fill: int = 0, tolerance: float = 1e-12, most: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(lower without its ones, upper) of ILU(fill), swept until nothing changes by more than the tolerance."""
+def ilu(a: DataFrame, fill: int = 0, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """(lower without its ones, upper) of ILU(fill), swept until nothing changes by more than the tolerance.
+
+    It ends after as many sweeps as there are levels of dependence, where values are exact, if not before.
+    """
     steps = Steps(a.sparkSession, "ilu")
     pattern = fill_levels(a, fill)
     start = steps.keep("start", pattern.join(a, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v")))
     both = start
-    for _ in range(most):
+    change = np.inf
+    while change > tolerance:  # values that are not numbers end it, too
         low, up = sweep(start, both.where("i > j"), both.where("i <= j"))
         new = steps.keep("both", low.unionByName(up).join(both.withColumnRenamed("v", "old"), ["i", "j"]))
         change = new.agg(F.max(F.abs(F.col("v") - F.col("old")))).first()[0] or 0.0
         both = new.select("i", "j", "v")
-        if change <= tolerance:
-            break
     return both.where("i > j"), both.where("i <= j")
 
 

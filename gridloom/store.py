@@ -28,6 +28,12 @@ class Steps:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.at, self.parts = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
 
+    def add(self, name: str, df: DataFrame) -> DataFrame:
+        """Appends to the table of that name, and gives all of it; what was given before stays as it was."""
+        path = self.parts.setdefault(name, f"{self.path}/{name}")
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def keep(self, name: str, df: DataFrame, partitions: int | None = None) -> DataFrame:
         self.at += 1
         path = f"{self.path}/{name}-{self.at}"
