@@ -368,6 +368,20 @@ def _(in_):
     return one(in_, lambda a: (lambda u, s, vt: (u * s[:, None]) @ vt)(*K.svd(a)))
 
 
+@query("D10_svd_all", f"SELECT * FROM ({DENSE}) WHERE j < 10")
+def _(in_):
+    """All vectors of a matrix with more rows than columns; those beyond the shorter side take no part in the product."""
+    return one(in_, lambda a: (lambda u, s, vt: (u[..., : s.shape[-1]] * s[:, None]) @ vt)(*K.svd(a[..., :10], "A", "A")))
+
+
+@query("D10_svd_values", f"SELECT CAST(0 AS BIGINT) AS i, round(sum(v * v), 4) AS v FROM ({DENSE})")
+def _(in_):
+    """Singular values alone: the sum of their squares."""
+    a = B.pack(in_(DENSE).withColumn("b", F.lit(0)), "b", "a")
+    squares = B.apply(a, ["a"], {"v": B.VECTOR}, lambda a: (K.svd(a, "N", "N")[1] ** 2).sum(1, keepdims=True))
+    return rounded(B.unpack(squares, "b", "v").drop("b"), 4)
+
+
 @query("D11_trtri", "SELECT i, j, CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v FROM (" + DENSE + ")")
 def _(in_):
     return one(in_, lambda a: K.trtri(a, "U")[0] @ np.triu(a))
