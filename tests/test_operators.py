@@ -193,3 +193,95 @@ def test_binary_crs(spark, tmp_path):
     a = pd.DataFrame({"i": [0, 2, 2], "j": [1, 0, 2], "v": [1.5, 2.5, 3.5]})
     (tmp_path / "m.bin").write_bytes(S.crs_bytes(a, 3))
     assert sorted(tuple(r) for r in S.read_matrix(spark, str(tmp_path / "m.bin")).collect()) == [(0, 1, 1.5), (2, 0, 2.5), (2, 2, 3.5)]
+
+
+def test_adaptive_bdf_of_many_systems():
+    robertson = lambda t, y: np.stack([-0.04 * y[:, 0] + 1e4 * y[:, 1] * y[:, 2], 0.04 * y[:, 0] - 1e4 * y[:, 1] * y[:, 2] - 3e7 * y[:, 1] ** 2, 3e7 * y[:, 1] ** 2], 1)
+    start, ends = np.array([[1.0, 0, 0]] * 3), np.array([0.4, 40, 0])
+    tight = ode.BdfOptions(atol=1e-10, rtol=1e-6)
+    y, status, _ = ode.bdf_adaptive(robertson, np.zeros(3), ends, start, tight)
+    assert list(status) == [ode.SUCCESS] * 3
+    assert np.allclose(y, [[0.98517, 3.3864e-5, 1.4794e-2], [0.71583, 9.1855e-6, 0.28416], [1, 0, 0]], rtol=1e-4)
+    alone = ode.bdf_adaptive(robertson, np.zeros(1), ends[1:2], start[:1], tight)[0]
+    assert np.allclose(alone, y[1:2], rtol=1e-12)
+    never = ode.bdf_adaptive(lambda t, y: y * np.nan, np.zeros(2), np.ones(2), np.ones((2, 1)))
+    assert list(never[1]) == [ode.MIN_SIZE] * 2
+    few = ode.bdf_adaptive(lambda t, y: -y, np.zeros(1), np.ones(1), np.ones((1, 1)), ode.BdfOptions(most=3))
+    assert list(few[1]) == [ode.MAX_STEPS]
+
+
+def test_svd_jobs():
+    a = np.array([[[3.0, 0], [4, 5]]])
+    u, s, vt = K.svd(a)
+    assert np.allclose(s, [[45**0.5, 5**0.5]])
+    assert np.allclose(np.abs(u[0]), np.array([[1, 3], [3, 1]]) / 10**0.5) and np.allclose(np.abs(vt[0]), 0.5**0.5)
+    tall = np.arange(12.0).reshape(1, 4, 3) ** 1.5
+    shapes = lambda *jobs: [None if x is None else x.shape[1:] for x in K.svd(tall, *jobs)]
+    assert shapes("A", "A") == [(4, 4), (3,), (3, 3)]
+    assert shapes("O", "n") == [(4, 3), (3,), None]
+    assert shapes("N", "N") == [None, (3,), None]
+    for jobs in (("X", "S"), ("S", "X"), ("O", "o")):
+        with pytest.raises(ValueError):
+            K.svd(tall, *jobs)
+
+
+def grid(side):
+    at = [(x, y) for y in range(side) for x in range(side)]
+    return [(p, q, 4.0 if p == q else -1.0) for p, a in enumerate(at) for q, b in enumerate(at) if abs(a[0] - b[0]) + abs(a[1] - b[1]) <= 1]
+
+
+def test_pivots_of_least_discarded_fill(spark):
+    out = T.mdf(mat(spark, *grid(4)).withColumn("b", F.lit(0).cast("long")), "b")
+    order = [r["i"] for r in out.select("i", "pi").distinct().orderBy("pi").collect()]
+    assert order == [0, 3, 12, 15, 1, 2, 4, 8, 7, 11, 13, 14, 5, 6, 9, 10]
+
+
+def test_threshold_ilu_of_a_small_matrix(spark):
+    a = [[1, 6, 4, 7], [2, -5, 0, 8], [0.5, -3, 6, 0], [0.2, -0.5, -9, 0]]
+    entries = mat(spark, *((i, j, v) for i, row in enumerate(a) for j, v in enumerate(row) if v))
+    low, up, norms = T.par_ilut(entries, vec(spark, 0, 0, 0, 0).select("i"))
+    assert norms[-1] <= norms[0]
+    low, up = T.ilu(entries, 4)
+    product = T.residual_norm(entries, low, up, vec(spark, 0, 0, 0, 0).select("i"))
+    assert product < 1e-9  # with all fill the factors are exact
+
+
+def test_triangular_solve_by_levels(spark):
+    rng = np.random.default_rng(3)
+    a = np.tril(rng.integers(1, 5, (7, 7)) * (rng.random((7, 7)) < 0.5)).astype(float) + 5 * np.eye(7)
+    x = values(T.solve(mat(spark, *((i, j, a[i, j]) for i in range(7) for j in range(7) if a[i, j])), vec(spark, *range(7))))
+    assert np.allclose(x, np.linalg.solve(a, np.arange(7)))
+
+
+def test_rcm_takes_all_components_at_once(spark):
+    parts = [(0, 1), (1, 2), (2, 3), (10, 11), (11, 12), (12, 10), (12, 13)]
+    e = spark.createDataFrame([p for a, b in parts for p in ((a, b), (b, a))], "src long, dst long")
+    v = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22)], "i long")
+
+    def plain():
+        near = {i: {b for a, b in parts if a == i} | {a for a, b in parts if b == i} for i in (r["i"] for r in v.collect())}
+        key, order = lambda i: (len(near[i]), i), []
+        while len(order) < len(near):
+            front = [min((i for i in near if i not in order), key=key)]
+            while front:
+                order += front
+                reached = {j for i in front for j in near[i]} - set(order)
+                front = sorted(reached, key=lambda j: (min(order.index(i) for i in near[j] if i in front), *key(j)))
+        return {i: len(order) - 1 - k for k, i in enumerate(order)}
+
+    assert {r["i"]: r["label"] for r in G.rcm(e, v).collect()} == plain()
+    assert G.rcm(e.limit(0), v.limit(0)).count() == 0
+
+
+def test_match_leaves_no_open_neighbours(spark):
+    chain = spark.createDataFrame([p for i in range(50) for p in ((i, i + 1, i + 1), (i + 1, i, i + 1))], "src long, dst long, w long")
+    m = {r["i"]: r["root"] for r in G.match(chain, spark.range(51).withColumnRenamed("id", "i")).collect()}
+    alone = {i for i in m if list(m.values()).count(m[i]) == 1}
+    assert not any(i in alone and i + 1 in alone for i in range(50))
+
+
+def test_bisection_with_equal_coordinates(spark):
+    for xs in ([0.0] * 6 + [1.0] * 4, [-1.0, *[0.0] * 6, 1.2], [5.0] * 4):
+        got = [r["part"] for r in G.rcb(spark.createDataFrame(list(enumerate(xs)), "id long, x double"), 2).orderBy("id").collect()]
+        assert all(a == b for p, a in zip(xs, got) for q, b in zip(xs, got) if p == q)
+        assert len(set(got)) == min(2, len(set(xs)))
