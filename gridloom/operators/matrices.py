@@ -233,9 +233,11 @@ def incidence(edges: DataFrame) -> DataFrame:
 
 
 def to_bsr(a: DataFrame, size: int) -> DataFrame:
-    """bi, bj, blk: blocks that have an entry, filled with zeros, row by row."""
-    place = F.pmod("i", F.lit(size)) * size + F.pmod("j", F.lit(size))
-    rows = a.groupBy(F.floor(F.col("i") / size).cast("long").alias("bi"), F.floor(F.col("j") / size).cast("long").alias("bj")).agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int"), "v"))).alias("m"))
+    """bi, bj, blk: blocks that have an entry, filled with zeros, row by row. Entries that are there more than once are added."""
+    block = lambda c: F.floor(F.col(c) / size).cast("long")
+    place = (F.pmod("i", F.lit(size)) * size + F.pmod("j", F.lit(size))).cast("int")
+    sums = a.groupBy(block("i").alias("bi"), block("j").alias("bj"), place.alias("p")).agg(F.sum("v").alias("v"))
+    rows = sums.groupBy("bi", "bj").agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("m"))
     return rows.select("bi", "bj", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("blk"))
 
 

@@ -148,6 +148,12 @@ def _(in_):
     return M.to_bsr(in_.A, 4).select("bi", "bj", E.arr_sum("blk").alias("total"), E.arr_sum(F.transform("blk", lambda v, k: v * k)).alias("placed"))
 
 
+@query("S32_coo_to_bsr", "SELECT i, j, v FROM {A}")
+def _(in_):
+    """Triplets that repeat positions are added within their blocks."""
+    return M.remove_zeros(M.from_bsr(M.to_bsr(in_.COO, 4), 4)).select("i", "j", "v")
+
+
 @query("S32_bsr_to_crs", "SELECT i, j, v FROM {A}")
 def _(in_):
     return M.remove_zeros(M.from_bsr(M.to_bsr(in_.A, 4), 4)).select("i", "j", "v")

@@ -85,6 +85,11 @@ def test_cancelled_entries_stay(spark):
     assert M.remove_zeros(M.spgemm(a, b)).count() == 0
 
 
+def test_blocks_add_repeated_entries(spark):
+    got = M.to_bsr(mat(spark, (0, 0, 1), (0, 0, 2), (1, 0, 5), (2, 3, 7)), 2).orderBy("bi").collect()
+    assert [tuple(r) for r in got] == [(0, 0, [3, 0, 5, 0]), (1, 1, [0, 7, 0, 0])]
+
+
 def test_running_sum_over_many_partitions(spark):
     n = 1000
     df = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 7).alias("v")).repartition(13)
