@@ -41,3 +41,13 @@ def test_color_takes_few_steps(spark, monkeypatch, limit):
     got, n = jobs(spark, f"color{limit}", lambda: {r["i"]: r["color"] for r in G.color(edges_of(spark, CLIQUES), v).collect()})
     assert got == greedy(81, CLIQUES)
     assert limit == 700 or n < 60  # a round each colour took over a hundred
+
+
+@pytest.mark.parametrize("limit", [700, 10**6])
+def test_preset_colors_stay(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "LIMIT", limit)
+    v, preset = spark.range(81).withColumnRenamed("id", "i"), {3: 7, 50: 1, 80: 2}
+    given = spark.createDataFrame(list(preset.items()), "i long, color int")
+    got, n = jobs(spark, f"preset{limit}", lambda: {r["i"]: r["color"] for r in G.color(edges_of(spark, CLIQUES), v, given).collect()})
+    assert got == greedy(81, CLIQUES, preset.items())
+    assert limit == 700 or n < 60
