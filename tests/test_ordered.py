@@ -51,3 +51,12 @@ def test_preset_colors_stay(spark, monkeypatch, limit):
     got, n = jobs(spark, f"preset{limit}", lambda: {r["i"]: r["color"] for r in G.color(edges_of(spark, CLIQUES), v, given).collect()})
     assert got == greedy(81, CLIQUES, preset.items())
     assert limit == 700 or n < 60
+
+
+def test_color_of_a_grid_takes_few_steps(spark):
+    side = 30  # the order follows the rows, so chains are as long as two sides
+    pairs = [(i, j) for i in range(side * side) for j in (i + 1, i + side) if j < side * side and (j != i + 1 or j % side)]
+    v = spark.range(side * side).withColumnRenamed("id", "i")
+    got, n = jobs(spark, "grid", lambda: {r["i"]: r["color"] for r in G.color(edges_of(spark, pairs), v).collect()})
+    assert all(got[a] != got[b] for a, b in pairs) and len(got) == side * side and min(got.values()) == 1
+    assert n < 60
