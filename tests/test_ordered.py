@@ -90,3 +90,12 @@ def test_independent_sets_are_checked_without_pairs(spark):
         assert G.mis2_faults(e, v, c).first().asDict() == plain_faults(60, pairs, chosen)
     fast = [r["i"] for r in G.mis2(e, v).collect()]
     assert plain_faults(60, pairs, fast) == {"too_near": 0, "uncovered": 0}
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_independent_set_of_low_degrees(spark, monkeypatch, small):
+    monkeypatch.setattr(G, "SMALL", small)  # vertices' tables are joined by a shuffle, or broadcast
+    pairs = [(0, k) for k in range(1, 20)] + [(19, 20), (20, 21)]
+    got = [r["i"] for r in G.mis2(edges_of(spark, pairs), spark.range(25).withColumnRenamed("id", "i"), quality=True).collect()]
+    assert plain_faults(25, pairs, got) == {"too_near": 0, "uncovered": 0}
+    assert {21, 22, 23, 24} <= set(got) and 0 not in got
