@@ -50,8 +50,9 @@ def _(in_):
 
 @query("S14_trsv", "SELECT i, v FROM {X}")
 def _(in_):
+    """The solution grows with the order, beyond what doubles hold: 1e23 with 20,000 parts."""
     low = in_(LOW)
-    return rounded(M.spmv(low, T.solve(low, in_.X), in_.X))
+    return rounded(T.exact_product(low, T.solve(low, in_.X, exact=True), in_.X))
 
 
 @query("S14_trsv_transposed", "SELECT i, v FROM {X}")

@@ -99,3 +99,21 @@ def test_independent_set_of_low_degrees(spark, monkeypatch, small):
     got = [r["i"] for r in G.mis2(edges_of(spark, pairs), spark.range(25).withColumnRenamed("id", "i"), quality=True).collect()]
     assert plain_faults(25, pairs, got) == {"too_near": 0, "uncovered": 0}
     assert {21, 22, 23, 24} <= set(got) and 0 not in got
+
+
+def growing(spark, n):
+    """A unit lower triangle whose solutions grow past what doubles hold, and a right side."""
+    low = spark.createDataFrame([(i, i - k, v) for i in range(n) for k, v in ((0, 1.0), (2, 2.0), (3, 3.0)) if i >= k], "i long, j long, v double")
+    return low, spark.createDataFrame([(i, 1.0 + i % 7) for i in range(n)], "i long, v double")
+
+
+def test_exact_solution_gives_the_right_side_back(spark, monkeypatch):
+    low, b = growing(spark, 300)
+    x = T.solve(low, b, exact=True)
+    assert max(abs(T._number(r["v"])) for r in x.collect()) > 2**60
+    assert sorted(T.exact_product(low, x, b).collect()) == sorted(b.collect())
+    monkeypatch.setattr(T, "EXACT_LIMIT", 100)
+    assert sorted(T.solve(low, b, exact=True).collect()) == sorted(x.collect())
+    halves = spark.createDataFrame([(0, 0, 3.0), (1, 0, 0.5), (1, 1, -1.0)], "i long, j long, v double")
+    y = T.solve(halves, b.where("i < 2"), exact=True)
+    assert sorted(tuple(r) for r in y.collect()) == [(0, "0x1/0x3"), (1, "-0xb/0x6")]
