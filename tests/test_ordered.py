@@ -117,3 +117,10 @@ def test_exact_solution_gives_the_right_side_back(spark, monkeypatch):
     halves = spark.createDataFrame([(0, 0, 3.0), (1, 0, 0.5), (1, 1, -1.0)], "i long, j long, v double")
     y = T.solve(halves, b.where("i < 2"), exact=True)
     assert sorted(tuple(r) for r in y.collect()) == [(0, "0x1/0x3"), (1, "-0xb/0x6")]
+
+
+def test_exact_solution_of_the_transpose(spark):
+    low, b = growing(spark, 300)
+    x = T.solve(low, b, "L", "T", exact=True)
+    back = T.exact_product(low.selectExpr("j as i", "i as j", "v"), x, b)
+    assert sorted(back.collect()) == sorted(b.collect())
