@@ -101,6 +101,17 @@ def test_independent_set_of_low_degrees(spark, monkeypatch, small):
     assert {21, 22, 23, 24} <= set(got) and 0 not in got
 
 
+@pytest.mark.parametrize("limit", [500, 10**6])
+def test_levels_of_a_long_chain(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "LIMIT", limit)
+    low = spark.createDataFrame([(i, i - k, 1.0) for i in range(400) for k in (0, 2, 3) if i >= k], "i long, j long, v double")
+    rows = spark.range(400).withColumnRenamed("id", "i")
+    got, n = jobs(spark, f"levels{limit}", lambda: {r["i"]: r["level"] for r in T.levels(low, rows).collect()})
+    assert got == {i: 1 + i // 2 for i in range(400)}
+    assert {r["i"]: r["level"] for r in T.levels(low, rows, trans="T").collect()} == {399 - i: 1 + i // 2 for i in range(400)}
+    assert limit == 500 or n < 40  # two hundred levels
+
+
 def growing(spark, n):
     """A unit lower triangle whose solutions grow past what doubles hold, and a right side."""
     low = spark.createDataFrame([(i, i - k, v) for i in range(n) for k, v in ((0, 1.0), (2, 2.0), (3, 3.0)) if i >= k], "i long, j long, v double")
@@ -124,3 +135,17 @@ def test_exact_solution_of_the_transpose(spark):
     x = T.solve(low, b, "L", "T", exact=True)
     back = T.exact_product(low.selectExpr("j as i", "i as j", "v"), x, b)
     assert sorted(back.collect()) == sorted(b.collect())
+
+
+@pytest.mark.parametrize("limit", [500, 10**6])
+def test_solve_of_a_long_chain(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "LIMIT", limit)
+    low = spark.createDataFrame([(i, j, v) for i in range(200) for j, v in ((i, 4.0), (i - 1, 1.0), (i - 7, 2.0)) if j >= 0], "i long, j long, v double")
+    dense = np.zeros((200, 200))
+    for i, j, v in low.collect():
+        dense[i, j] = v
+    b = spark.createDataFrame([(i, float(i % 5)) for i in range(200)], "i long, v double")
+    for uplo, trans, a in (("L", "N", dense), ("L", "T", dense.T)):
+        got, n = jobs(spark, f"solve{trans}{limit}", lambda: [r["v"] for r in T.solve(low, b, uplo, trans).orderBy("i").collect()])
+        assert np.allclose(got, np.linalg.solve(a, np.arange(200) % 5))
+        assert limit == 500 or n < 40  # two hundred levels
