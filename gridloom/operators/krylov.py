@@ -47,13 +47,13 @@ class Jacobi(Preconditioner):
 
 
 class LU(Preconditioner):
-    """Two triangular solves."""
+    """Two triangular solves; exact ones give numbers as text."""
 
-    def __init__(self, lower: DataFrame, upper: DataFrame):
-        self.lower, self.upper = lower, upper
+    def __init__(self, lower: DataFrame, upper: DataFrame, exact: bool = False):
+        self.lower, self.upper, self.exact = lower, upper, exact
 
     def apply(self, x):
-        return T.solve(self.upper, T.solve(self.lower, x, "L", unit=True), "U")
+        return T.solve(self.upper, T.solve(self.lower, x, "L", unit=True, exact=self.exact), "U", exact=self.exact)
 
 
 @dataclass(frozen=True)

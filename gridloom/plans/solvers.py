@@ -142,7 +142,8 @@ def _(in_):
 def _(in_):
     low = in_(LOW)
     up = M.transpose(low).select("i", "j", "v")
-    return rounded(M.spmv(low, M.spmv(up, K.LU(low, up).apply(in_.X), in_.X), in_.X))
+    x = K.LU(low, up, exact=True).apply(in_.X)
+    return rounded(T.exact_product(low, T.exact_product(up, x, in_.X, text=True), in_.X))
 
 
 @query("S24_smoother_setup", "SELECT CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS uncolored")

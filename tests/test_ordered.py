@@ -149,3 +149,11 @@ def test_solve_of_a_long_chain(spark, monkeypatch, limit):
         got, n = jobs(spark, f"solve{trans}{limit}", lambda: [r["v"] for r in T.solve(low, b, uplo, trans).orderBy("i").collect()])
         assert np.allclose(got, np.linalg.solve(a, np.arange(200) % 5))
         assert limit == 500 or n < 40  # two hundred levels
+
+
+def test_exact_preconditioner(spark):
+    low, b = growing(spark, 120)
+    up = low.selectExpr("j as i", "i as j", "v")
+    x = krylov.LU(low, up, exact=True).apply(b)
+    back = T.exact_product(low, T.exact_product(up, x, b, text=True), b)
+    assert sorted(back.collect()) == sorted(b.collect())
