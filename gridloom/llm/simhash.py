@@ -6,10 +6,10 @@ meet are linked. For r = 2 that is 65 variants, and all that share one are withi
 variant has at most 65 fingerprints, and a chain through them links them all. Copies collapse to
 one fingerprint before anything is emitted.
 
-For texts that are similar but not nearly equal (`similar_documents`), 64 bits would need balls of
-millions of variants: at a Jaccard similarity of 0.8, about 15 % of all bits differ. There candidates
-are sets of shingles that share one of their rarest, a wider fingerprint rules out most of those that
-only do that, and links are verified on the sets themselves.
+For texts that are similar but not nearly equal (`similar_documents`), ball hashing comes first, too.
+But at a Jaccard similarity of 0.8 about 15 % of all bits differ, which would need balls of millions of
+variants. So sets of shingles that share one of their rarest are candidates as well, a wider fingerprint
+rules out most of those that only do that, and all links are verified on the sets themselves.
 
 Defined results: null and empty texts have no words and fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; repeated rows each get a row; null doc_ids take
@@ -128,7 +128,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataF
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, h (hash of the text), group: documents that links join have the same group. Links are the pairs of the given Jaccard similarity of shingles or more.
 
-    Prefix filtering: with all shingles in one order, two sets that are similar share one of the first
+    Ball hashing of the sets' SimHash gives the first candidates: sets with one fingerprint, and one set of
+    each of two fingerprints that are linked. It can't reach all pairs of such a similarity, so prefix
+    filtering gives the rest: with all shingles in one order, two sets that are similar share one of the first
     |x| - ceil(similarity |x|) + 1 shingles of both, so no pair is missed, whatever the corpus's size. Any
     order is right; common shingles (counted on a bounded sample) come last, so that sets which share a
     passage but little else don't meet. First each set is linked with one of each list it stands in: the one
@@ -187,7 +189,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     hubs = met.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
     hubs = hubs.join(sides["a"], F.col("a") == F.col("a_c")).join(sides["b"], F.col("b") == F.col("b_c")).where(fits).select("a", "b")
-    links = similar(work.save(hubs, "hubs"), "hubs")
+    links = similar(work.save(hubs.union(_met_in_balls(classes, work)).distinct(), "hubs"), "hubs")
     labels = clusters(links, "hubs")
     # Lists that still hold several clusters: every pair across clusters.
     met = work.save(met.select("token", "c", "pos", "before").join(labels, "c"), "open")
@@ -205,6 +207,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     return out
 
 
+def _met_in_balls(classes: DataFrame, work: WorkTables) -> DataFrame:
+    """Pairs (a, b) of classes `c` whose SimHash `f0` is the same or linked by ball hashing. One class stands for each fingerprint."""
+    heads = work.save(classes.groupBy(F.col("f0").alias("fp")).agg(F.min("c").alias("head")), "heads")
+    same = classes.join(heads, F.col("f0") == F.col("fp")).where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b"))
+    near = work.save(links(heads, 2), "near")
+    ends = [heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_c")) for side in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+    return same.union(near)
+
+
 def _may_be_similar(similarity: float, gap):
     """What sizes and fingerprints (a_n, b_n and the bits that differ) don't rule out.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import give_back, worker_cache
 from .labelled import held_out, learnable, sample
 
 #: Labelled documents that are learnt from, at most, by class; only those of so many characters are.
@@ -455,6 +455,7 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] = MOST) -> Ma
     def run(marked: pa.Table) -> pa.Table:
         marked = marked.sort_by("doc_id")
         m = fit([prepared(t.as_py()) for t in marked.column("text")], marked.column("y").to_numpy().astype(np.int64))
+        give_back()
         return pa.Table.from_pylist([{"cols": m.cols, "values": m.values, "bias": m.bias, "logistic": m.logistic}] if m else [], schema=schema)
 
     got = rows.groupBy("one").applyInArrow(run, "cols array<long>, values array<double>, bias double, logistic array<double>").collect()
@@ -472,6 +473,7 @@ def score(docs: DataFrame, machine: Machine | None, columns: list[str], name: st
         for b in batches:
             got = score_texts(b.column(at).to_pylist(), sent.value, table) if table is not None else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(got)], names=[*columns, name])
+        give_back()
 
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
     return kept.mapInArrow(run, f"{kinds}, {name} double")

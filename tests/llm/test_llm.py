@@ -601,3 +601,12 @@ def test_queries_have_unique_names_and_sql_that_fits():
 
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and "pipeline" in names
+
+
+def test_balls_give_candidates_of_the_similar_stage(spark, tmp_path):
+    from gridloom.llm.common import WorkTables
+    from gridloom.llm.simhash import _met_in_balls
+
+    classes = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 255), (5, 254), (6, 1 << 40 | 7 << 50)], "c long, f0 long")
+    got = {tuple(sorted(r)) for r in _met_in_balls(classes, WorkTables(spark, "balls")).collect()}
+    assert got == {(1, 2), (1, 3), (4, 5)}
