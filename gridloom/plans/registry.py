@@ -39,12 +39,13 @@ def expanded(text: str) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: f"({expanded(INPUTS[m[1]])})" if m[1] in INPUTS else m[0], text)
 
 
-def from_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """An input for Spark: tables' names stand for the files in sf_dir."""
+def from_sql(spark: SparkSession, sf_dir: str, text: str, parts: int | None = None) -> DataFrame:
+    """An input for Spark: tables' names stand for the files in sf_dir, dealt to so many tasks."""
     text = expanded(text)
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
     text = re.sub(rf"\b({'|'.join(used)})\b(?!\.)", lambda m: "{" + m[1] + "}", text)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    return spark.sql(text, **{t: df.repartition(parts) if parts else df for t, df in tables.items()})
 
 
 class Inputs:
@@ -59,6 +60,10 @@ class Inputs:
     def __call__(self, text: str) -> DataFrame:
         return from_sql(self.spark, self.sf_dir, text)
 
+    def dealt(self, text: str) -> DataFrame:
+        """The same for joins that make many rows of few: a small table is one file and, where the other side is broadcast, would be one task."""
+        return from_sql(self.spark, self.sf_dir, text, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
 
 def query(name: str, oracle: str | None = None):
     """Registers a function of Inputs under the name, with its SQL if there is one."""

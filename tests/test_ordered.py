@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gridloom.operators import graphs as G
 from gridloom.operators import krylov, ordered
 from gridloom.operators import triangular as T
+from gridloom.plans import load
+from gridloom.store import Steps
 
 
 def jobs(spark, name, run):
@@ -101,6 +103,43 @@ def test_independent_set_of_low_degrees(spark, monkeypatch, small):
     assert {21, 22, 23, 24} <= set(got) and 0 not in got
 
 
+def plans_kept(monkeypatch):
+    """Name and plan of each table that is kept from now on."""
+    plans, keep = [], Steps.keep
+
+    def noted(self, name, df, *a):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, name, df, *a)
+
+    monkeypatch.setattr(Steps, "keep", noted)
+    return plans
+
+
+@pytest.mark.parametrize("quality", [False, True])
+def test_independent_sets_sort_no_edges(spark, monkeypatch, quality):
+    rng = np.random.default_rng(5)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (70, 2)).tolist() if p[0] != p[1]}
+    plans = plans_kept(monkeypatch)
+    got = [r["i"] for r in G.mis2(edges_of(spark, pairs), spark.range(60).withColumnRenamed("id", "i"), quality).collect()]
+    assert plain_faults(60, pairs, got) == {"too_near": 0, "uncovered": 0} and len(set(got)) == len(got)
+    if quality:  # what goes by degree, hash and id one by one
+        near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(60)}
+        two = {i: {i} | near[i] | {k for j in near[i] for k in near[j]} for i in near}
+        chosen = set()
+        for i in sorted(near, key=lambda i: (len(near[i]), i * 2654435761 % 2**32, i)):
+            if not two[i] & chosen:
+                chosen.add(i)
+        assert set(got) == chosen
+    assert any(name == "first" for name, _ in plans) and not any("SortAggregate" in plan for _, plan in plans)
+
+
+def test_the_graph_of_suppliers_is_made_by_many_tasks(spark, monkeypatch):
+    plans = plans_kept(monkeypatch)
+    load()[0]["G05_mis2_quality"](spark, "/root/testdata/sf0.001")
+    made = next(plan for name, plan in plans if name == "edges")  # its tables are small, its rows are the square
+    assert "RoundRobinPartitioning(4)" in made
+
+
 @pytest.mark.parametrize("limit", [500, 10**6])
 def test_levels_of_a_long_chain(spark, monkeypatch, limit):
     monkeypatch.setattr(ordered, "LIMIT", limit)
