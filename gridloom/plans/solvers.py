@@ -112,7 +112,7 @@ SYSTEMS = f"SELECT CAST(r_regionkey AS BIGINT) AS b, i, j, CASE WHEN i = j THEN
 @query("S21_mdf", SYSTEMS)
 def _(in_):
     """Factors in the new order: their product is the matrix, on its pattern; the order is a permutation."""
-    f = T.mdf(kept(in_, SYSTEMS))
+    f = Steps(in_.spark, "factors").keep("f", T.mdf(in_(SYSTEMS)))  # read five times
     low = f.where("pi > pj").select("b", "i", F.col("pj").alias("k"), F.col("v").alias("x"))
     ones = f.where("pi = pj").select("b", "i", F.col("pi").alias("k"), F.lit(1.0).alias("x"))
     up = f.where("pi <= pj").select("b", F.col("pi").alias("k"), "j", F.col("v").alias("y"))

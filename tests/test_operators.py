@@ -1,8 +1,10 @@
 """What the queries don't reach: special values, errors, kernels against numpy, files' corners."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +290,77 @@ def test_pivots_of_least_discarded_fill(spark):
     assert order == [0, 3, 12, 15, 1, 2, 4, 8, 7, 11, 13, 14, 5, 6, 9, 10]
 
 
+def plain_mdf(entries):
+    """(i, j): v, pi, pj, with all of it looked at anew for each pivot."""
+    a = {}
+    for i, j, v in entries:
+        a[i, j] = a.get((i, j), 0.0) + v
+    left, order = {i for i, _ in a} | {j for _, j in a}, []
+    while left:
+        costs = []
+        for p in left:
+            below, right = sorted(q for q in left - {p} if (q, p) in a), sorted(c for c in left - {p} if (p, c) in a)
+            d = a.get((p, p), 0.0)
+            lost = [(x := a[q, p] * a[p, c] / d) * x for q in below for c in right if (q, c) not in a] if d else []
+            total = sum(lost) if d else np.inf
+            costs.append((total if total == total else np.inf, len(lost), len(below) + len(right), p))
+        p = min(costs)[3]
+        left.discard(p)
+        order.append(p)
+        for q in left:
+            if (q, p) in a:
+                a[q, p] /= a.get((p, p), 0.0) or 1.0
+                for c in left:
+                    if (p, c) in a and (q, c) in a:
+                        a[q, c] -= a[q, p] * a[p, c]
+    place = {p: k for k, p in enumerate(order)}
+    return {(i, j): (v, place[i], place[j]) for (i, j), v in a.items()}
+
+
+def test_pivots_of_odd_matrices(spark):
+    """Not symmetric, with gaps and negative indices, without diagonals, with entries that add up or are huge, in batches of three."""
+    rng, systems = np.random.default_rng(6), {}
+    for b in range(8):
+        at = rng.choice([-7, -2, 0, 1, 2, 3, 10**12, 5, 8, 9], (45, 2))
+        systems[b] = [(int(i), int(j), float(v)) for (i, j), v in zip(at, rng.integers(-9, 10, 45) + 0.25)] + [(i, i, 6.5) for i in (0, 2, 5) if b % 2]
+    systems[8] = [(0, 0, 1e-200), (0, 1, 1e200), (1, 0, 1e200), (1, 1, 1.0), (2, 0, 1.0), (2, 2, 1.0)]
+    rows = [(b, *x) for b, entries in systems.items() for x in entries]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = T.mdf(spark.createDataFrame(rows, "b long, i long, j long, v double").repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for b, entries in systems.items():
+        got, want = {(r["i"], r["j"]): (r["v"], r["pi"], r["pj"]) for r in out if r["b"] == b}, plain_mdf(entries)
+        assert {k: x[1:] for k, x in got.items()} == {k: x[1:] for k, x in want.items()}
+        assert np.allclose([got[k][0] for k in want], [want[k][0] for k in want], equal_nan=True)
+    assert len(out) == sum(len(plain_mdf(e)) for e in systems.values())
+
+
+def test_pivots_are_found_in_little_memory():
+    side = 120
+    at = np.arange(side * side)
+    steps = [(0, at >= 0), (-1, at % side > 0), (1, at % side < side - 1), (-side, at >= side), (side, at < side * (side - 1))]
+    i, j = (np.concatenate(x) for x in zip(*((at[ok], at[ok] + k) for k, ok in steps)))
+    order = np.lexsort((j, i))
+    batch = pa.RecordBatch.from_pydict({"i": i[order], "j": j[order], "v": np.where(i == j, 10.0, -1.0)[order]})
+    tracemalloc.start()
+    try:
+        places = T._pivots(T._Compressed(batch.slice(k, 1000) for k in range(0, len(i), 1000)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(places) == at.tolist()
+    assert peak < 60 * len(i)  # dictionaries took 570 bytes an entry
+
+
+def test_factors_are_made_once(spark):
+    from gridloom.plans import load
+
+    out = load()[0]["S21_mdf"](spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # it was there five times
+
+
 def test_threshold_ilu_of_a_small_matrix(spark):
     a = [[1, 6, 4, 7], [2, -5, 0, 8], [0.5, -3, 6, 0], [0.2, -0.5, -9, 0]]
     entries = mat(spark, *((i, j, v) for i, row in enumerate(a) for j, v in enumerate(row) if v))
